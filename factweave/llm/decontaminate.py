@@ -46,13 +46,12 @@ def with_window_hashes(df: DataFrame, words: str, width: int, out: str) -> DataF
 
 
 def bench_windows(bench: DataFrame, window: int = WINDOW, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """width, h, words and the sorted ids of the items that hold the window; one row per distinct window."""
+    """width, words and the sorted ids of the items that hold the window; one row per distinct window."""
     b = bench.select(F.col(f"`{item_id}`").cast("string").alias("item"), bench_words(F.col(f"`{text}`")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)))
     b = b.select("item", "w", F.explode(starts).alias("i")).select("item", F.slice("w", F.col("i") + 1, F.lit(window)).alias("words"))
     b = b.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    b = b.withColumn("width", F.size("words"))
-    return b
+    return b.withColumn("width", F.size("words"))
 
 
 def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -64,9 +63,10 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, text: str = "t
     base = base.select(text_key(F.col("t")).alias("key"), bench_words(F.col("t")).alias("w"))
     found = None
     for width in sorted(sizes) or [window]:
-        side = with_window_hashes(wins.where(F.col("width") == width), "words", width, "hs").select(F.element_at("hs", 1).alias("h"), "words", "items")
-        each = with_window_hashes(base, "w", width, "hs").select("key", "w", F.posexplode("hs").alias("p", "h"))
-        same = F.slice(each["w"], each["p"] + 1, F.lit(width)) == side["words"]
+        side = with_window_hashes(wins.where(F.col("width") == width), "words", width, "hs").select(F.element_at("hs", 1).alias("h"), "words", "items").cache()
+        each = with_window_hashes(base, "w", width, "hs").select("key", "w", F.posexplode_outer("hs").alias("p", "h"))
+        here = F.slice(each["w"], each["p"] + 1, F.lit(width))
+        same = F.least(here, side["words"]) == F.greatest(here, side["words"])  # equality, in a form that stays a condition beside the key h
         got = each.join(F.broadcast(side) if small else side, (each["h"] == side["h"]) & same).select("key", F.struct(F.col("p").alias("start"), F.lit(width).alias("width")).alias("place"), "items")
         found = got if found is None else found.unionByName(got)
     return found.groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"), F.collect_set("items").alias("items")).withColumn("items", F.sort_array(F.array_distinct(F.flatten("items"))))
