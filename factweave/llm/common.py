@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,23 +46,5 @@ def adjacent_sum(positions: Column, span: int) -> Column:
     return F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session. Only where that is unset, as in tests on one machine, a temporary folder is set."""
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at.rstrip("/")
-    set_before = spark.sparkContext.getCheckpointDir()
-    if set_before:
-        return set_before.rstrip("/")
-    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='factweave-')}")
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, computed once and written to the shared folder; later reads survive the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)

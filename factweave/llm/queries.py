@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
-from factweave.llm import decontaminate, quality
+from factweave.functions.session import ship
+from factweave.llm import decontaminate, packing, quality, simhash, tokencounts, tokenfiles
 
-QUERIES = {
+_QUERIES = {
+    "op1_packing": packing.query,
+    "op3_token_counts": tokencounts.query,
+    "op4_simhash_components": simhash.query,
+    "op5_token_files": tokenfiles.query,
     "op8_quality_rules": quality.query,
     "op10_decontamination": decontaminate.query,
 }
 
+
+def _with_package(f):
+    def run(spark, sf_dir):
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
+QUERIES = {name: _with_package(f) for name, f in _QUERIES.items()}
+
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 #: The stop words and bounds of the threshold table, as the query's rules have them.
