@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from factweave.functions.session import ship
-from factweave.llm import decontaminate, packing, quality, simhash, tokencounts, tokenfiles
+from factweave.llm import decontaminate, html, packing, quality, simhash, tokencounts, tokenfiles
 
 _QUERIES = {
     "op1_packing": packing.query,
@@ -11,6 +11,7 @@ _QUERIES = {
     "op4_simhash_components": simhash.query,
     "op5_token_files": tokenfiles.query,
     "op8_quality_rules": quality.query,
+    "op9_html_text": html.query,
     "op10_decontamination": decontaminate.query,
 }
 
