@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from factweave.functions.session import ship
-from factweave.llm import decontaminate, html, packing, quality, simhash, tokencounts, tokenfiles
+from factweave.llm import decontaminate, html, packing, pii, quality, simhash, tokencounts, tokenfiles, toxicity
 
 _QUERIES = {
     "op1_packing": packing.query,
     "op3_token_counts": tokencounts.query,
     "op4_simhash_components": simhash.query,
     "op5_token_files": tokenfiles.query,
+    "op6_pii": pii.query,
+    "op7_toxicity": toxicity.query,
     "op8_quality_rules": quality.query,
     "op9_html_text": html.query,
     "op10_decontamination": decontaminate.query,
