@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from factweave.functions.session import ship
-from factweave.llm import decontaminate, html, packing, pii, quality, simhash, tokencounts, tokenfiles, toxicity
+from factweave.llm import decontaminate, html, packing, pii, quality, simhash, substring, tokencounts, tokenfiles, toxicity
 
 _QUERIES = {
     "op1_packing": packing.query,
+    "op2_substring_dedup": substring.query,
     "op3_token_counts": tokencounts.query,
     "op4_simhash_components": simhash.query,
     "op5_token_files": tokenfiles.query,
