@@ -1,6 +1,6 @@
 """Token files: flat unsigned ids in document order, with 64-bit document offsets beside them.
 
-Documents are range-partitioned and sorted by (id, text). Each task streams its ids to a file of its
+Documents are range-partitioned and sorted by (id, hash of the text). Each task streams its ids to a file of its
 own in the shared folder, named by partition and a fresh token, so a task that runs twice never
 writes into the file of its first run; the manifest, one row per partition, names the files that
 count. Bases of partitions are prefix sums over the manifest. Files:
@@ -69,11 +69,13 @@ def _write(out: str, tokenizer: str, end_id: int):
     return run
 
 
-def write(docs: DataFrame, out: str | None = None, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """Writes the files and returns the manifest: part, stem, width (bytes an id), n_docs, n_tokens, doc_base, token_base. One row per partition comes to the driver, no document does."""
+def write(docs: DataFrame, out: str | None = None, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID, ordered: bool = True) -> DataFrame:
+    """Writes the files (with ordered = False in the order of docs' own partitions, without a shuffle) and returns the manifest: part, stem, width (bytes an id), n_docs, n_tokens, doc_base, token_base. One row per partition comes to the driver, no document does."""
     spark = docs.sparkSession
     out = out or f"{shared_dir(spark)}/token-files/{uuid.uuid4().hex}"
-    two = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).orderBy("doc_id", "text")
+    two = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    if ordered:  # the sample of range bounds holds no text
+        two = two.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     rows = two.mapInArrow(_write(out, tokenizer or public(VOCABULARY), end_id), "part long, stem string, width int, n_docs long, n_tokens long").collect()
     rows.sort(key=lambda r: r.part)
     sums = [list(accumulate((r[k] for r in rows), initial=0)) for k in ("n_docs", "n_tokens")]

@@ -25,8 +25,15 @@ import pyarrow.compute as pc
 
 #: Anything that some regular-expression engine takes as white space.
 _WIDE = r"[\s\x0b\x1c-\x1f\x{85}\x{180e}\x{200b}\x{feff}\pZ]"
-_UNSAFE = f"{_WIDE} ({_WIDE}|$)"
-CACHE_PIECES, CACHED_CHARS, SLICE_BYTES = 400_000, 48, 4 << 20
+_UNSAFE = f"{_WIDE} ({_WIDE}|$)|\\x00"
+#: Marks after a letter and before white space or the end are a pre-token of their own.
+_MARKS = "[.,;:!?]+"
+#: A piece of Latin letters that composition leaves alone and whose lower case is one letter each.
+_LETTERS = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
+#: How byte-level tokenizers write bytes as characters: printable ones stay, the others follow from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_FORMS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PLAIN)}
+CACHE_PIECES, CACHED_CHARS, SLICE_BYTES = 600_000, 48, 4 << 20
 
 
 class Encoder:
@@ -39,6 +46,11 @@ class Encoder:
         self.tokenizer.no_padding()
         self.vocab = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cut, self.cache = self._cut(), {}
+        self.bare = None
+        if self.cut != "none":
+            spec = json.loads(self.tokenizer.to_str())
+            spec |= {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "post_processor": None}
+            self.bare = Tokenizer.from_str(json.dumps(spec))
 
     def _cut(self) -> str:
         spec = json.loads(self.tokenizer.to_str())
@@ -50,39 +62,53 @@ class Encoder:
             return "words"
         return "none"
 
-    def _pieces(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def _pieces(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Distinct pieces, a code per piece, and the number of pieces of each text."""
         n = len(texts)
         if self.cut == "none":
-            return texts.to_pylist(), np.arange(n), np.ones(n, np.int64)
+            return texts, np.arange(n), np.ones(n, np.int64)
         if self.cut == "words":
-            split = pc.ascii_split_whitespace(texts)
+            own = texts.take(pa.array(np.arange(n)))  # ascii_lower reads a slice's buffer from its start
+            apart = pc.replace_substring_regex(pc.ascii_lower(own), rf"(\pL)({_MARKS})(\s|$)", r"\1 \2\3")
+            split = pc.ascii_split_whitespace(apart)
             flat = split.flatten().dictionary_encode()
-            return flat.dictionary.to_pylist(), flat.indices.to_numpy(), pc.list_value_length(split).to_numpy().astype(np.int64)
+            return flat.dictionary, flat.indices.to_numpy(), pc.list_value_length(split).to_numpy().astype(np.int64)
         whole = pc.match_substring_regex(texts, _UNSAFE)
-        split = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        apart = pc.replace_substring_regex(pc.replace_substring(pc.if_else(whole, "", texts), " ", "\0 "), rf"(\pL)({_MARKS})([\x00\s]|$)", "\\1\0\\2\\3")
+        split = pc.split_pattern(apart, "\0")
         flat, count = split.flatten().dictionary_encode(), pc.list_value_length(split).to_numpy().astype(np.int64)
-        codes, firsts = flat.indices.to_numpy().astype(np.int64), np.cumsum(count) - count
-        first = pc.if_else(whole, texts, pc.list_element(split, 0)).to_pylist()
-        pieces = [f" {w}" for w in flat.dictionary.to_pylist()]
-        codes[firsts] = len(pieces) + np.arange(n)
-        return pieces + first, codes, count
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        out = [self.cache.get(p) for p in pieces]
-        new = list(dict.fromkeys(p for p, x in zip(pieces, out, strict=True) if x is None))
-        if not new:
+        codes, full = flat.indices.to_numpy().astype(np.int64), whole.to_numpy(zero_copy_only=False)
+        kept = texts.filter(whole)
+        codes[(np.cumsum(count) - count)[full]] = len(flat.dictionary) + np.arange(len(kept))
+        return pa.concat_arrays([flat.dictionary, kept]), codes, count
+
+    def _encoded(self, pieces: pa.Array) -> dict[str, bytes]:
+        """Pieces of plain letters go to a tokenizer without normalizer and pre-tokenizer, in the form that those would give them; other pieces go to the full one."""
+        made: dict[str, bytes] = {}
+        simple = pc.match_substring_regex(pieces, _LETTERS) if self.bare else pa.array(np.zeros(len(pieces), bool))
+        for tokenizer, own in ((self.bare, pieces.filter(simple)), (self.tokenizer, pieces.filter(pc.invert(simple)))):
+            for at in range(0, len(own), 20_000):
+                part = own.slice(at, 20_000).to_pylist()
+                form = part
+                if tokenizer is self.bare:
+                    form = "\n".join(part)
+                    form = (form if self.cut == "space" else form.lower()).encode().decode("latin-1").translate(BYTE_FORMS).split(chr(BYTE_FORMS[10]))
+                for p, e in zip(part, tokenizer.encode_batch_fast(form, add_special_tokens=False), strict=True):
+                    made[p] = array("I", e.ids).tobytes()
+        return made
+
+    def _ids(self, pieces: pa.Array) -> list[bytes]:
+        own = pieces.to_pylist()
+        out = list(map(self.cache.get, own))
+        new = np.fromiter((x is None for x in out), bool, len(out))
+        if not new.any():
             return out
-        made = {}
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                made[p] = array("I", e.ids).tobytes()
+        made = self._encoded(pieces.filter(pa.array(new)))
         if len(self.cache) + len(made) > CACHE_PIECES:
             self.cache.clear()
         if len(made) <= CACHE_PIECES:
-            self.cache.update((p, x) for p, x in made.items() if len(p) <= CACHED_CHARS)
-        return [made[p] if x is None else x for p, x in zip(pieces, out, strict=True)]
+            self.cache.update(made if max(map(len, made)) <= CACHED_CHARS else {p: x for p, x in made.items() if len(p) <= CACHED_CHARS})
+        return [made[p] if x is None else x for p, x in zip(own, out, strict=True)]
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one row, and where each text's ids end; end_id follows each text's own ids."""
