@@ -54,3 +54,87 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(e, nodes["node"] == e["u"], "left").select("node", F.coalesce("v", "node").alias("component"))
+
+
+def _edges(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    return edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src is not null and dst is not null").distinct()
+
+
+def closure(edges: DataFrame, seeds: DataFrame, seed: str = "node", src: str = "src", dst: str = "dst", max_rounds: int = 1000) -> DataFrame:
+    """Every node that seeds reach, seeds included, whether in the graph or not. A frontier moves on until it is empty; visited nodes never return, so cycles end."""
+    e = checkpointed(_edges(edges, src, dst))
+    seen = front = checkpointed(seeds.select(F.col(seed).alias("node")).where("node is not null").distinct())
+    for _ in range(max_rounds):
+        found = e.join(front, e["src"] == front["node"], "left_semi").select(F.col("dst").alias("node")).distinct()
+        front = checkpointed(found.join(seen, "node", "left_anti"))
+        if front.isEmpty():
+            return seen
+        seen = checkpointed(seen.union(front))
+    raise RuntimeError("closure did not end")
+
+
+def reach(edges: DataFrame, seeds: DataFrame, depth: int, start: str = "start", node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:
+    """Start, node, hops: nodes within `depth` hops of each start, itself excluded. seeds (start, node) are hop 1. The depth unrolls into joins; nodes seen at fewer hops don't come back."""
+    e = _edges(edges, src, dst)
+    front = seeds.select(F.col(start).alias("start"), F.col(node).alias("node")).where("start <> node").distinct().withColumn("hops", F.lit(1))
+    seen = front
+    for hop in range(2, depth + 1):
+        go = front.select("start", F.col("node").alias("src")).join(e, "src").where("dst <> start").select("start", F.col("dst").alias("node")).distinct()
+        front = go.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        seen = seen.union(front)
+    return seen
+
+
+def settle(rows: DataFrame, deps: DataFrame, key: str = "node", bad: str = "bad", src: str = "src", dst: str = "dst", max_rounds: int = 1000) -> DataFrame:
+    """(node, bad) after bad rows turn good whose targets are all good, again and again until none does. A target that isn't a row never is good."""
+    r = rows.select(F.col(key).alias("node"), F.col(bad).alias("bad"))
+    still = checkpointed(r.where("bad").select("node"))
+    e = _edges(deps, src, dst)
+    e = checkpointed(e.join(still, e["src"] == still["node"], "left_semi"))
+    unknown = e.join(r, e["dst"] == r["node"], "left_anti").select(F.col("src").alias("node"))
+    for _ in range(max_rounds):
+        held = e.join(still, e["dst"] == still["node"], "left_semi").select(F.col("src").alias("node")).union(unknown).distinct()
+        now = checkpointed(still.join(held, "node", "left_semi"))
+        if now.count() == still.count():
+            break
+        still = now
+    return r.join(still.withColumn("_still", F.lit(True)), "node", "left").select("node", F.coalesce("_still", F.lit(False)).alias("bad"))
+
+
+def scc(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 1000) -> DataFrame:
+    """(node, component) of strongly connected components with two nodes or more, named by their smallest node.
+
+    Colours: the smallest name flows along edges until it settles; nodes that reach the namesake
+    backwards within its colour are its component. They leave, and the rest starts anew. Nodes without
+    an edge in or out leave first. State is a row per node and per edge, checkpointed each round.
+    """
+    e = checkpointed(_edges(edges, src, dst).where("src <> dst"))
+    out = None
+    for _ in range(max_rounds):
+        while True:  # trim
+            n = e.count()
+            e2 = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            e2 = checkpointed(e2.join(e2.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            e = e2
+            if e.count() == n:
+                break
+        if e.isEmpty():
+            break
+        colour = checkpointed(e.select(F.col("src").alias("node")).distinct().withColumn("c", F.col("node")))
+        while True:
+            sent = e.join(colour, e["src"] == colour["node"]).groupBy("dst").agg(F.min("c").alias("m"))
+            new = checkpointed(colour.join(sent, colour["node"] == sent["dst"], "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c")))
+            moved = new.join(colour.withColumnRenamed("c", "old"), "node").where("c <> old").isEmpty()
+            colour = new
+            if moved:
+                break
+        a, b = (colour.select(F.col("node").alias(k), F.col("c").alias(f"c_{k}")) for k in ("src", "dst"))
+        own = checkpointed(e.join(a, "src").join(b, "dst").where("c_src = c_dst").select("src", "dst", F.col("c_src").alias("c")))
+        back = closure(own.select(F.col("dst").alias("src"), F.col("src").alias("dst")), colour.where("node = c").select("node"))
+        done = checkpointed(colour.join(back, "node", "left_semi").select("node", F.col("c").alias("component")))
+        out = done if out is None else out.union(done)
+        e = checkpointed(e.join(done.select(F.col("node").alias("src")), "src", "left_anti").join(done.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    if out is None:
+        return edges.select(F.col(src).alias("node"), F.col(src).alias("component")).limit(0)
+    big = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return out.join(big, "component", "left_semi").select("node", "component")
