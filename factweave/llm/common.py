@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +42,3 @@ def adjacent_sum(positions: Column, span: int) -> Column:
     nexts = F.slice(positions, F.lit(2), F.greatest(F.size(positions) - 1, F.lit(0)))
     gaps = F.zip_with(positions, nexts, lambda p, q: F.least(F.coalesce(q - p, F.lit(span)), F.lit(span)))
     return F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda s, x: s + x), F.lit(0).cast("long"))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
