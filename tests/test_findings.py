@@ -89,7 +89,7 @@ def test_streams(spark, tmp_path):
     finally:
         q.stop()
     assert seen == [("a.rs", "one\ntwo"), ("b.rs", "new")]
-    ev = spark.sql("select u as user_id, timestamp_ntz(t) as ts from values (1,'2024-01-01 00:00:00'),(1,'2024-01-01 01:00:00'),(1,'2024-01-03 00:00:00'),(2,'2024-01-01 00:00:00') as v(u,t)")
+    ev = spark.sql("select u as user_id, cast(t as timestamp_ntz) as ts from values (1,'2024-01-01 00:00:00'),(1,'2024-01-01 01:00:00'),(1,'2024-01-03 00:00:00'),(2,'2024-01-01 00:00:00') as v(u,t)")
     assert sorted((r.user_id, r.n) for r in watch.bursts(ev).collect()) == [(1, 1), (1, 2), (2, 1)]
     ev.write.parquet(f"{tmp_path}/ev")
     stream = watch.event_stream(spark, f"{tmp_path}/ev", ev.schema)
