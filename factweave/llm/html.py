@@ -31,7 +31,7 @@ RAW = frozenset("script style noscript template iframe object svg canvas math te
 P_ENDS_AT = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements and words in class, id or role that never hold the article's text.
 NOT_ARTICLE = frozenset("nav footer aside form button head menu dialog".split())
-CUES = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead comment comments reply replies discussion disqus respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search toolbar widget tags skip copyright complementary contentinfo".split())
+CUES = frozenset("ad ads advert adverts advertisement advertisements sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer header masthead comment comments reply replies discussion disqus respond share sharing social related recommended recommendations newsletter subscribe subscription signup login search toolbar widget tags skip feedback responses disclaimer legal topbar copyright complementary contentinfo".split())
 HEADINGS = frozenset(f"h{i}" for i in range(1, 7))
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)", re.S)
@@ -56,13 +56,13 @@ def _cue(attributes: str, name: str) -> tuple[bool, bool]:
 def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """(text, weight, in the article) of each block in page order, and whether the page marks an article."""
     made: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, its text is dropped, it is in the article
+    stack: list[tuple[str, int, bool]] = []  # element, whether its text is dropped (1 by class, 2 by element), it is in the article
     parts: list[str] = []
     linked = 0
     marked = False
 
-    def state() -> tuple[bool, bool]:
-        return (stack[-1][1], stack[-1][2]) if stack else (False, False)
+    def state() -> tuple[int, bool]:
+        return (stack[-1][1], stack[-1][2]) if stack else (0, False)
 
     def flush() -> None:
         nonlocal linked
@@ -102,7 +102,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 continue
             if any(n not in INLINE for n, _, _ in stack[depth:]):
                 flush()
-            elif stack[depth][1] != (stack[depth - 1][1] if depth else False):
+            elif stack[depth][1] != (stack[depth - 1][1] if depth else 0):
                 flush()
             del stack[depth:]
             continue
@@ -135,9 +135,11 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             off, article = state()
         elif cue:
             flush()
-        drop = off or cue or name in NOT_ARTICLE or name == "header"
+        drop = max(off, 2 if name in NOT_ARTICLE or name == "header" else 1 if cue else 0)
         if name in HEADINGS and off and article and any(n == "header" for n, _, _ in stack) and not any(o for n, o, _ in stack[: next(i for i, s in enumerate(stack) if s[0] == "header")]):
-            drop = False  # an article's own header holds its heading
+            drop = 0  # an article's own header holds its heading
+        if name in ("article", "main") and drop == 1 and not cue and not marked:
+            drop = 0  # a class of a wrapper says less than the page's first article
         if (name in ("article", "main") or main) and not drop:
             marked = article = True
         if not m[0].endswith("/>"):

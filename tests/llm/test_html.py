@@ -28,6 +28,11 @@ def test_cut_and_odd_pages():
     assert main_text("<article>" + "<div>" * 3000 + "deep") == "deep"
 
 
+def test_wrappers_and_comments():
+    page = "<div class='page with-sidebar'><div class=sidebar>links</div><main><p>Body.</p></main><section class='comments'><article class=comment>me</article><article>too</article></section></div>"
+    assert main_text(page) == "Body."
+
+
 def test_stretches():
     assert stretches([0, 0, 5, 0, 0, 0, 9, 9], 3, 0) == [(0, 3), (4, 8)]
     assert stretches([], 3, 0) == []
