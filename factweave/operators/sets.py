@@ -39,7 +39,7 @@ def flags(df: DataFrame, rules: list[tuple[str, Column, float]], keep: list[str]
     """One row per exceeded limit: kept columns, rule_id, value, limit."""
     each = [F.when(v > limit, F.struct(F.lit(r).alias("rule_id"), v.cast("double").alias("value"), F.lit(float(limit)).alias("limit"))) for r, v, limit in rules]
     hits = F.filter(F.array(*each), lambda x: x.isNotNull())
-    return df.select(*keep, F.explode(hits).alias("x")).select(*keep, "x.rule_id", "x.value", "x.limit")
+    return df.select(*keep, F.inline(hits))
 
 
 def having_count(df: DataFrame, by: list[str], least: int, most: int | None = None, distinct: str | None = None) -> DataFrame:
