@@ -121,8 +121,13 @@ def flags(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
 
 
 def reject(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that pass every rule, with their own columns only."""
-    return flags(docs, text, rules).where("kept").select("row.*")
+    """The documents that pass every rule, with their own columns only.
+
+    A plain filter would be pushed below the projections and repeat their nested expressions many times over; rows
+    pass through an outer generator instead, whose output it can't be pushed below.
+    """
+    passed = F.explode_outer(F.when(F.col("kept"), F.array("row")))
+    return flags(docs, text, rules).select(passed.alias("row")).where(F.col("row").isNotNull()).select("row.*")
 
 
 def query(spark, sf_dir):
