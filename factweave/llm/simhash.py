@@ -217,8 +217,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     lone = fps.groupBy(F.col(fp).alias("fingerprint")).agg(F.min(key).alias("row"))
     slim = checkpointed(fps.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(fp).alias("fingerprint")))
     names = component_names(slim, radius)
-    best = names.join(slim, "fingerprint").groupBy("component_id").agg(F.min(F.struct("doc_id", "fingerprint")).alias("x")).select("x.fingerprint")
-    return lone.join(best, "fingerprint", "left_semi").select(*(F.col(f"row.`{c}`") for c in docs.columns))
+    best = names.join(slim, "fingerprint").groupBy("component_id").agg(F.min(F.struct("doc_id", "fingerprint")).alias("x")).select(F.col("x.fingerprint").alias("best"))
+    # null-safe: an ordinary equality infers a filter on the fingerprint, which repeats its expressions below
+    return lone.join(best, lone["fingerprint"].eqNullSafe(best["best"]), "left_semi").select(*(F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir):
