@@ -83,10 +83,10 @@ def covered(places: Column) -> Column:
     return F.aggregate(places, start, step, lambda s: s["n"])
 
 
-def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, min_items: int = 2, text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """row (struct of docs' columns), n_words, n_hit, places, items, contaminated (hits of min_items items or more)."""
+def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, min_items: int = 2, text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS, keep: list[str] | None = None) -> DataFrame:
+    """row (struct of docs' columns, or of those to keep), n_words, n_hit, places, items, contaminated (hits of min_items items or more)."""
     found = hits(docs, bench, window, text, broadcast_windows)
-    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text_key(F.col(f"`{text}`")).alias("key"), F.size(bench_words(F.col(f"`{text}`"))).cast("long").alias("n_words"))
+    left = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("row"), text_key(F.col(f"`{text}`")).alias("key"), F.size(bench_words(F.col(f"`{text}`"))).cast("long").alias("n_words"))
     return left.join(found, "key", "left").select(
         "row", "n_words", F.coalesce(covered(F.col("places")), F.lit(0)).cast("long").alias("n_hit"), "places", F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         (F.coalesce(F.size("items"), F.lit(0)) >= min_items).alias("contaminated"),
@@ -110,5 +110,5 @@ def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, min_items: in
 
 
 def query(spark, sf_dir):
-    s = scan(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark"))
+    s = scan(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return s.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
