@@ -10,8 +10,9 @@ memory, and each group's tree is built down to the window's depth:
    The others are set in a bitmap of fixed size, the only thing that is broadcast. Where the
    corpus outgrows it, it lets more runs pass and changes no result.
 3. Variable length: a prefix with more runs than a group may hold (`group_runs`, or a millionth of all
-   runs) is lengthened to the whole window. Such a group is a single deep node that needs a count and no
-   tree, so its leaves are counted with partial aggregation by 128-bit hashes and never meet in a task.
+   runs) is lengthened to the whole run, and where that occurs once, to the whole window. Such a group is
+   a single deep node that needs a count and no tree, so its leaves are counted with partial aggregation
+   by 128-bit hashes and never meet in a task.
 4. Trees: segments of a group become word numbers; ranks of the strings of 1, 2, 4, ... words are the tree's
    nodes at those depths. Nodes at the window's depth with two leaves or more are repeats, and
    neighbouring ones merge to maximal repeats.
@@ -161,10 +162,13 @@ def _candidates(window: int, bits: int, shared, hot_only: bool):
                 doc = np.searchsorted(ends, first, "right")
                 place = first - (ends - count)[doc]
                 if hot_only:
+                    h2 = word_hashes(words, 1)
                     each = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    h1, h2 = rolled(h, window, M1)[each], rolled(word_hashes(words, 1), window, M2)[each]
-                    doc = np.repeat(doc, n)
-                    yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).take(pa.array(doc)), pa.array(each - (ends - count)[doc])], ["h1", "h2", "key", "first"])
+                    nodes = [rolled(x, window, m)[each] if len(each) else np.zeros(0, np.uint64) for x, m in ((h, M1), (h2, M2))]
+                    offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+                    whole_run = [xxhash.xxh3_128_digest(np.stack([h[i:j], h2[i:j]]).tobytes()) for i, j in zip(first.tolist(), (first + n + window - 1).tolist(), strict=True)]
+                    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.view(np.int64))) for x in nodes]
+                    yield pa.RecordBatch.from_arrays([pa.array(whole_run, pa.binary()), batch.column(0).take(pa.array(doc)), pa.array(place), *lists], ["run", "key", "first", "h1", "h2"])
                 else:
                     segments = pa.Array.from_buffers(pa.large_list(pa.large_string()), 0, [None, pa.py_buffer(np.zeros(1, np.int64))], children=[pa.array([], pa.large_string())])
                     if len(a):
@@ -247,6 +251,17 @@ def _trees(window: int):
     return run
 
 
+def _counted(rows: DataFrame, window: int) -> DataFrame:
+    """Ranges in runs of long prefixes. Equal texts count as one row with their number; runs that occur twice repeat as a whole; only the windows of distinct runs are counted one by one, those of a repeated run twice."""
+    own = checkpointed(rows.groupBy("run", "key", "first").agg(F.count("*").alias("c"), F.first("h1").alias("h1"), F.first("h2").alias("h2")))
+    runs = checkpointed(own.groupBy("run").agg(F.sum("c").alias("c"), F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.min(F.struct("key", "first")).alias("at")))
+    whole = own.join(runs.where("c > 1").select("run"), "run", "left_semi").select("key", F.col("first").alias("lo"), (F.col("first") + F.size("h1") + window - 1).alias("hi"))
+    nodes = runs.select("at", F.least("c", F.lit(2)).alias("c"), F.posexplode(F.arrays_zip("h1", "h2")).alias("i", "h")).select("at", "c", "i", "h.h1", "h.h2")
+    twice = nodes.groupBy("h1", "h2").agg(F.sum("c").alias("n")).where("n > 1")
+    single = nodes.where("c = 1").join(twice, ["h1", "h2"], "left_semi").select("at.key", (F.col("at.first") + F.col("i")).alias("lo"), (F.col("at.first") + F.col("i") + window).alias("hi"))
+    return whole.union(single)
+
+
 def ranges(docs: DataFrame, text: str = "text", window: int = WINDOW, group_runs: int = GROUP_RUNS, bits: int = BITS) -> DataFrame:
     """key (of the text), lo, hi: words [lo, hi) that repeated windows cover; ranges of a text may touch or overlap."""
     t = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
@@ -260,9 +275,7 @@ def ranges(docs: DataFrame, text: str = "text", window: int = WINDOW, group_runs
     cold = keyed.mapInArrow(_candidates(window, bits, shared, False), "prefix long, key binary, first long, segment string")
     found = cold.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees(window), "key binary, lo long, hi long")
     if len(hot):
-        leaves = checkpointed(keyed.mapInArrow(_candidates(window, bits, shared, True), "h1 long, h2 long, key binary, first long"))
-        nodes = leaves.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
-        found = found.union(leaves.join(nodes, ["h1", "h2"], "left_semi").select("key", F.col("first").alias("lo"), (F.col("first") + window).alias("hi")))
+        found = found.union(_counted(keyed.mapInArrow(_candidates(window, bits, shared, True), "run binary, key binary, first long, h1 array<long>, h2 array<long>"), window))
     return found
 
 
