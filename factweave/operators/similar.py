@@ -6,17 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def near_dups(df: DataFrame, id: str, tokens: str, tau: float = 0.85, bucket: int = 10, cap: int = 50) -> DataFrame:
-    """K7: pairs a < b within one size bucket whose multiset Jaccard, sum of minima over sum of maxima, is tau or more. Buckets of more than `cap` rows are skipped, as the semantics say.
+def near_dups(df: DataFrame, id: str, tokens: str, tau: float = 0.85, bucket: int = 10, cap: int | None = 50) -> DataFrame:
+    """K7: pairs a < b within one size bucket whose multiset Jaccard, sum of minima over sum of maxima, is tau or more. Buckets of more than `cap` rows are skipped, as the reference does; with cap=None none is.
 
-    Pairs meet through shared tokens within a bucket, so a pair costs its shared distinct tokens. The
-    cap bounds a bucket, and so the pairs of any key.
+    Rows are sets of (token, occurrence), ordered by how rare an element is. Two rows of similarity tau
+    share an element of their first n - ceil(tau * n) + 1 at least, so pairs meet through those only; all
+    that meet are verified over all tokens.
     """
     sized = df.select(F.col(id).alias("id"), F.col(tokens).alias("tokens"), F.size(tokens).alias("n")).where("n > 0").withColumn("bucket", F.floor(F.col("n") / bucket))
-    small = sized.groupBy("bucket").agg(F.count("*").alias("_rows")).where(F.col("_rows").between(2, cap)).select("bucket")
+    rows = F.col("_rows")
+    small = sized.groupBy("bucket").agg(F.count("*").alias("_rows")).where(rows >= 2 if cap is None else rows.between(2, cap)).select("bucket")
     counts = sized.join(small, "bucket", "left_semi").select("id", "n", "bucket", F.explode("tokens").alias("token")).groupBy("bucket", "token", "id", "n").agg(F.count("*").alias("c"))
-    a, b = (counts.select("bucket", "token", F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("c").alias(f"c_{k}")) for k in "ab")
-    both = a.join(b, ["bucket", "token"]).where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.sum(F.least("c_a", "c_b")).alias("shared"))
+    each = counts.select("bucket", "token", "id", "n", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("k"))
+    rare = each.groupBy("token", "k").agg(F.count("*").alias("held"))
+    order = Window.partitionBy("bucket", "id", "n").orderBy("held", "token", "k")
+    first = each.join(rare, ["token", "k"]).withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - F.ceil(tau * F.col("n") - 1e-6) + 1)
+    a, b = (first.select("bucket", "token", "k", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    near = a.join(b, ["bucket", "token", "k"]).where("a < b").where(F.least("n_a", "n_b") >= tau * F.greatest("n_a", "n_b") - 1e-6).select("bucket", "a", "b", "n_a", "n_b").distinct()
+    a, b = (counts.select("bucket", "token", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
+    both = near.join(a, ["bucket", "a", "n_a"]).join(b, ["bucket", "b", "n_b", "token"]).groupBy("a", "b", "n_a", "n_b").agg(F.sum(F.least("c_a", "c_b")).alias("shared"))
     sim = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
     return both.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= tau)
 

@@ -85,7 +85,7 @@ def k6_exact_groups(spark, sf):
 def k7_near_dups(spark, sf):
     d = _t(spark, sf, "documents").select("doc_id", "text")
     alone = sets.exact_groups(d, "text", "doc_id")[1].select("doc_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("tokens"))
-    return similar.near_dups(alone, "doc_id", "tokens").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return similar.near_dups(alone, "doc_id", "tokens", cap=None).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def k8_fragments(spark, sf):

@@ -175,3 +175,24 @@ def test_scores(spark):
     d = scoring.diff(one, one.withColumn("x", x + 1), ["x", "z"])
     assert rows(d) == [("x", 5.0, 6.0, 1.0), ("z", 0.0, 0.0, 0.0)]
     assert one.agg(scoring.calibrated(x, 3).alias("v")).first().v == 6
+
+
+def test_near_dups_without_a_cap_as_brute_force(spark):
+    from collections import Counter
+
+    rng = random.Random(8)
+    vocab, docs = [f"w{i}" for i in range(60)], []
+    for i in range(120):
+        t = list(rng.choice(docs)[1]) if docs and rng.random() < 0.6 else [rng.choice(vocab) for _ in range(rng.randint(40, 49))]
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(len(t))] = rng.choice(vocab)
+        docs.append((i, t))
+    want = {}
+    for i, x in docs:
+        for j, y in docs[i + 1 :]:
+            m = sum((Counter(x) & Counter(y)).values())
+            if len(x) // 10 == len(y) // 10 and m / (len(x) + len(y) - m) >= 0.85:
+                want[i, j] = m / (len(x) + len(y) - m)
+    df = spark.createDataFrame(docs, "id long, t array<string>")
+    assert len(want) > 50 and rows(similar.near_dups(df, "id", "t")) == []
+    assert {(a, b): s for a, b, s in rows(similar.near_dups(df, "id", "t", cap=None))} == pytest.approx(want)
