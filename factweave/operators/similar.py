@@ -29,12 +29,12 @@ def near_dups(df: DataFrame, id: str, tokens: str, tau: float = 0.85, bucket: in
     return both.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= tau)
 
 
-def fragments(rows: DataFrame, seq: str, ord: str, value: str, size: str | None = None, window: int = 3, min_size: int = 0, cap: int = 50) -> DataFrame:
+def fragments(rows: DataFrame, seq: str, ord: str, value: str, size: str | None = None, window: int = 3, min_size: int = 0, cap: int | None = 50) -> DataFrame:
     """K8: maximal shared runs of rows between two sequences: seq_a < seq_b, start_a, start_b, rows.
 
     Windows of `window` rows are keyed by a hash and by the values themselves; groups of 2 to `cap`
-    windows make pairs across sequences (the cap is part of the semantics). Matches merge where each
-    follows the other directly in (a, b) order. With `size`, runs whose rows of a sum to less are left out.
+    windows make pairs across sequences, as in the reference; with cap=None groups of any size do. The result
+    has a row for each pair of sequences, so it grows with the square of a group. Matches merge where each follows the other directly in (a, b) order. With `size`, runs whose rows of a sum to less are left out.
     """
     w = Window.partitionBy(seq).orderBy(ord)
     span = w.rowsBetween(0, window - 1)
@@ -42,7 +42,7 @@ def fragments(rows: DataFrame, seq: str, ord: str, value: str, size: str | None
     w = Window.partitionBy("seq").orderBy("ord")
     span = w.rowsBetween(0, window - 1)
     x = x.withColumn("at", F.row_number().over(w)).withColumn("values", F.collect_list("value").over(span)).where(F.size("values") == window).select("seq", "at", F.xxhash64("values").alias("h"), "values")
-    g = x.groupBy("h", "values").agg(F.count("*").alias("n")).where(F.col("n").between(2, cap)).select("h", "values")
+    g = x.groupBy("h", "values").agg(F.count("*").alias("n")).where(F.col("n") >= 2 if cap is None else F.col("n").between(2, cap)).select("h", "values")
     x = x.join(g, ["h", "values"], "left_semi")
     a, b = (x.select("h", "values", F.col("seq").alias(f"seq_{k}"), F.col("at").alias(f"at_{k}")) for k in "ab")
     pairs = a.join(b, ["h", "values"]).where("seq_a < seq_b").select("seq_a", "seq_b", "at_a", "at_b")

@@ -90,7 +90,7 @@ def k7_near_dups(spark, sf):
 
 def k8_fragments(spark, sf):
     x = _lines(spark, sf).where(F.length("text") > 0).withColumn("size", F.size(F.split("text", " ")))
-    return similar.fragments(x, "doc_id", "line", "text", "size", 3, 30)
+    return similar.fragments(x, "doc_id", "line", "text", "size", 3, 30, cap=None)
 
 
 def k9_degrees(spark, sf):

@@ -196,3 +196,12 @@ def test_near_dups_without_a_cap_as_brute_force(spark):
     df = spark.createDataFrame(docs, "id long, t array<string>")
     assert len(want) > 50 and rows(similar.near_dups(df, "id", "t")) == []
     assert {(a, b): s for a, b, s in rows(similar.near_dups(df, "id", "t", cap=None))} == pytest.approx(want)
+
+
+def test_fragments_of_many_sequences_without_a_cap(spark):
+    seqs = {s: [f"x{s}", "a", "b", "c", "d", f"y{s}"] for s in range(55)}
+    seqs[54] = ["a", "b", "c", "d"] * 2
+    df = spark.createDataFrame([(s, i, v) for s, x in seqs.items() for i, v in enumerate(x)], "s long, o long, v string")
+    want = brute_fragments(seqs, 3, 10**9)
+    assert len(want) > 54 * 53 // 2 and rows(similar.fragments(df, "s", "o", "v", window=3)) == []
+    assert rows(similar.fragments(df, "s", "o", "v", window=3, cap=None)) == want
