@@ -1,7 +1,9 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from factweave.llm.html import extract, main_text, stretches
+from factweave.llm.html import extract, lines, main_text, stretches
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Home</a></li></ul></nav><!-- ad 3 --><div class="ad">Buy now</div>
@@ -34,11 +36,94 @@ def test_wrappers_and_comments():
 
 
 def test_stretches():
-    assert stretches([0, 0, 5, 0, 0, 0, 9, 9], 3, 0) == [(0, 3), (4, 8)]
+    assert stretches([0, 0, 5, 0, 0, 0, 9, 9], 3, 0) == [(2, 3), (6, 8)]
+    assert stretches([9, 0, 0, 9, 0, 0, 0, 9], 3, 8) == [(0, 4), (7, 8)]
     assert stretches([], 3, 0) == []
     assert stretches([1, 1], 3, 60) == []
 
 
+def by_definition(weights, window, threshold):
+    """Stretches as sets of places, straight from the definition."""
+    at = lambda i: sum(weights[i : i + window])
+    kept, on = set(), False
+    for i in range(len(weights)):
+        on = at(i) > 0 if on else at(i) > threshold
+        kept |= {i} if on else set()
+    out, run = set(), []
+    for i in [*range(len(weights)), None]:
+        if i is not None and i in kept:
+            run.append(i)
+        elif run:
+            heavy = [k for k in run if weights[k]]
+            out |= set(range(heavy[0], heavy[-1] + 1))
+            run = []
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([0, 0, 0, 1, 5, 30, 70]), max_size=25), st.sampled_from([0, 4, 60]))
+def test_stretches_as_defined(weights, threshold):
+    assert {i for lo, hi in stretches(weights, 3, threshold) for i in range(lo, hi)} == by_definition(weights, 3, threshold)
+
+
+def test_line_blocks_decide():
+    """Text beside the article stays out by its window sums alone; switched off, it is there."""
+    page = "<div>A line of some forty characters here.</div><article><p>Body text.</p><p><a href=x>Only a link</a></p><p>End.</p></article><div>Another line of forty characters, no more.</div>"
+    assert main_text(page) == "Body text.\nOnly a link\nEnd."
+    assert len([x for x in lines(page)[0] if x.beside < 2]) == 5
+    many = "<div><p>" + "</p><p>".join(["Long enough to be the text of a page by itself. " * 3] * 3) + "</p></div>"
+    assert main_text(f"<p>Short line.</p><ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a><li><a href=4>Four</a></ul>{many}").count("\n") == 2
+
+
+def test_short_pages_without_an_article():
+    assert main_text("<p>Hi.</p>") == "Hi."
+    assert main_text("<div class=ad>Buy this very good thing now and never again.</div>") == ""
+    assert main_text("<div class='cookie-notice'>We use cookies.</div><p>Hello there, this is all.</p>") == "Hello there, this is all."
+
+
+def test_names_inside_an_article():
+    page = "<article><section class='legal-history'><p>One.</p></section><div id='related-work'><p>Two.</p></div><div class='notice-period'>Three.</div><div class='ad'>Buy.</div><ol class='comments'><li>" + "I read it all and have much to say. " * 90 + "</ol></article>"
+    assert main_text(page) == "One.\nTwo.\nThree."
+
+
+def test_broken_quotes_and_nested_objects():
+    assert main_text('<article><p title="abc>Hello</p><p>you</p></article>') == "Hello\nyou"
+    assert main_text("<article><p title='it's\">Hello</p></article>") == "Hello"
+    assert main_text("<article><object><object>in</object>out</object>x</article>") == "x"
+    assert main_text("<article><p>a</p><p class=\"x") == "a"
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    for unit in ("<div>", "<ul><li><p>a <a href=x>b</a>", "<p title='x>y ", "<b><table><tr><td>c", "</p></div>x"):
+        page = "<article>" + unit * (500_000 // len(unit)) + "end"
+        began = time.process_time()
+        assert main_text(page).endswith("end") or "'" in unit
+        assert time.process_time() - began < 3, unit
+
+
+def generated(rng):
+    """A page made of known blocks, and its article's text."""
+    words = lambda n: " ".join(rng.choice("the of and stone river light house under Morgen été señal".split()) for _ in range(n))
+    body = [(words(rng.randint(1, 60)) + ".", rng.choice(["p", "p", "p", "h2", "blockquote", "li", "link"])) for _ in range(rng.randint(1, 9))]
+    inner = "".join({"li": f"<ul><li>{t}</ul>", "link": f"<p><a href='/x'>{t}</a></p>"}.get(k, f"<{k}>{t}</{k}>" if k != "p" or rng.random() < 0.5 else f"<p>{t}") for t, k in body)
+    if rng.random() < 0.4:
+        inner += f"<aside><p>{words(30)}</p></aside><div class='ad'>{words(8)}</div>"
+    if rng.random() < 0.3:
+        inner += f"<section id='comments'><p>{words(200)}</p><p>{words(90)}</p></section>"
+    before = "".join(rng.sample([f"<nav><ul><li><a href=1>{words(1)}</a><li><a href=2>{words(2)}</a></ul></nav>", f"<header><p>{words(12)}</p></header>", f"<div class=ad>{words(9)}</div>", f"<form>{words(4)}<input></form>", f"<p class='cookie-notice'>{words(14)}</p>"], rng.randint(0, 5)))
+    after = "".join(rng.sample([f"<footer>&copy; {words(15)}</footer>", f"<div class='related'>{words(6)}</div>", "<script>var a = '<p>no</p>';</script>", f"<aside>{words(70)}</aside>"], rng.randint(0, 4)))
+    return f"<html><head><title>{words(3)}</title></head><body>{before}<article>{inner}</article>{after}" + ("</body></html>" if rng.random() < 0.7 else ""), "\n".join(t for t, _ in body)
+
+
+def test_generated_pages_give_their_article():
+    rng = random.Random(3)
+    for _ in range(400):
+        page, gold = generated(rng)
+        assert main_text(page) == gold, page
+
+
 def test_columns_and_nulls(spark):
     df = spark.createDataFrame([(1, "u", "<article>é</article>", "x"), (None, None, None, "y"), (1, "u", "<article>é</article>", "x")], "page_id long, url string, html string, text string")
     got = sorted((tuple(r) for r in extract(df).collect()), key=str)
