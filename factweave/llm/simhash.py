@@ -2,7 +2,8 @@
 
 Fingerprints: shingle hashes are built from built-in expressions; an Arrow function adds up bits.
 Links: two fingerprints within r bits agree on all but r of B blocks, so each fingerprint goes to one
-shard per choice of r blocks to leave out, keyed by the bits that stay. A shard is a set of distinct
+shard per choice of r blocks to leave out, keyed by the bits that stay; at the first level by so many of
+them only that a shard holds about TREE fingerprints. A shard is a set of distinct
 fingerprints; its BK-tree (children keyed by Hamming distance to the parent, leaves of a few
 fingerprints) is searched along edges within the radius only. Shards over `shard_rows` aren't
 searched: their members go to the next level, which keeps more bits, and at the last level 48 of the
@@ -17,7 +18,7 @@ become components by alternating star rounds on checkpointed tables.
 
 Defined results: a null or empty text has fingerprint 0 and links like any other. Documents with
 equal fingerprints are linked. Null ids are allowed; they are never a component's name unless
-all ids in it are null. Repeated rows are kept by components() and reduced to one by dedup().
+all ids in it are null. Repeated rows are kept.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from factweave.functions.session import checkpointed
 from factweave.llm.common import free_name, load, lower_ascii, words_of
 from factweave.operators.graph import components as graph_components
 
-SHINGLE, RADIUS, SHARD_ROWS, LEAF = 3, 3, 8192, 24
+SHINGLE, RADIUS, SHARD_ROWS, TREE, LEAF = 3, 3, 8192, 2048, 24
 
 
 def with_shingle_hashes(df: DataFrame, text: Column, out: str, width: int = SHINGLE) -> DataFrame:
@@ -69,14 +70,20 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint",
 
 
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y)
+    """Differing bits of fingerprints whose 64-bit words are the last axis."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
+
+
+def _wide(fps: np.ndarray) -> np.ndarray:
+    return fps[:, None] if fps.ndim == 1 else fps
 
 
 class BKTree:
-    """Over an array of distinct unsigned fingerprints. A node is (root, {distance: child}); small sets stay as leaves."""
+    """Over an array of distinct unsigned fingerprints, of one or more words of 64 bits. A node is (root, {distance: child}); small sets stay as leaves."""
 
     def __init__(self, fps: np.ndarray, leaf: int = LEAF):
-        self.fps, self.leaf = fps, leaf
+        self.fps, self.leaf, self.branches = fps, leaf, 0
+        fps = self.fps = _wide(fps)
         self.top = None if not len(fps) else [np.arange(len(fps)), None]
         todo = [self.top] if self.top else []
         while todo:
@@ -90,19 +97,21 @@ class BKTree:
             cuts = np.flatnonzero(np.diff(d[order])) + 1
             children = {int(d[part[0]]): [rest[part], None] for part in np.split(order, cuts) if len(part)}
             node[0], node[1] = root, children
+            self.branches += 1
             todo += children.values()
 
     def matches(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
         """(fingerprint's index, indices of queries within the radius), by edges within the radius only."""
+        queries = _wide(queries)
         todo = [(self.top, np.arange(len(queries)))] if self.top else []
         while todo:
             (at, children), q = todo.pop()
             if children is None:
-                near = _near(self.fps[at][:, None], queries[q][None, :]) <= radius
+                near = _near(self.fps[at][:, None], queries[q][None]) <= radius
                 for i in np.flatnonzero(near.sum(axis=1) > 1):
                     yield int(at[i]), q[near[i]]
                 continue
-            d = _near(queries[q], self.fps[at]).astype(np.int16)
+            d = _near(queries[q], self.fps[at])
             near = q[d <= radius]
             if len(near):
                 yield int(at), near
@@ -157,13 +166,23 @@ def _search(radius: int):
     return run
 
 
-def levels(radius: int) -> list[list[int]]:
-    """Masks of the bits that stay, by level: blocks are 64 bits cut in ever more parts, and each choice of `radius` parts is left out once."""
+def levels(radius: int, bits: int = 64) -> list[list[int]]:
+    """Masks of the bits that stay, by level: blocks are 64 bits cut in ever more parts, and each choice of `radius` parts is left out once. At the first level only the first `bits` of them stay, which parts no pair."""
     out = []
     for parts in (radius + 1, 2 * radius, 2 * radius + 2, 4 * radius):
         edges = [64 * i // parts for i in range(parts + 1)]
         blocks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
         out.append([sum(blocks[i] for i in range(parts) if i not in skip) for skip in combinations(range(parts), radius)])
+    out[0] = sorted({_lowest(m, bits) for m in out[0]})
+    return out
+
+
+def _lowest(mask: int, bits: int) -> int:
+    """The lowest set bits of a mask, so many of them."""
+    out = 0
+    for _ in range(min(bits, mask.bit_count())):
+        out |= mask & -mask
+        mask &= mask - 1
     return out
 
 
@@ -171,10 +190,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(fps: DataFrame, fp: str = "fingerprint", radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def links(fps: DataFrame, fp: str = "fingerprint", radius: int = RADIUS, shard_rows: int = SHARD_ROWS, tree: int = TREE) -> DataFrame:
     """Stars (a, b) that connect distinct fingerprints exactly as all pairs within the radius would."""
     left = checkpointed(fps.select(F.col(fp).alias("fp")).distinct())
-    found, steps = None, levels(radius)
+    found, steps = None, levels(radius, max(0, (left.count() // tree).bit_length()))
     for n, masks in enumerate(steps):
         parts = F.array(*(F.struct(F.lit(i).cast("long").alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(masks)))
         keyed = left.select("fp", F.explode(parts).alias("x")).select("x.part", "x.bits", "fp")
@@ -209,19 +228,6 @@ def component_names(fps: DataFrame, radius: int) -> DataFrame:
     return named.join(name, "component").select("fingerprint", "component_id")
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each component: the one with the smallest id, then the smallest text and other columns. Same columns as docs."""
-    fps = fingerprints(docs, text, "fingerprint", width)
-    fp = fps.columns[-1]
-    key = F.struct(F.col(f"`{doc_id}`"), *(F.col(f"`{c}`") for c in docs.columns if c != doc_id))
-    lone = fps.groupBy(F.col(fp).alias("fingerprint")).agg(F.min(key).alias("row"))
-    slim = checkpointed(fps.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(fp).alias("fingerprint")))
-    names = component_names(slim, radius)
-    best = names.join(slim, "fingerprint").groupBy("component_id").agg(F.min(F.struct("doc_id", "fingerprint")).alias("x")).select(F.col("x.fingerprint").alias("best"))
-    # null-safe: an ordinary equality infers a filter on the fingerprint, which repeats its expressions below
-    return lone.join(best, lone["fingerprint"].eqNullSafe(best["best"]), "left_semi").select(*(F.col(f"row.`{c}`") for c in docs.columns))
-
-
 def query(spark, sf_dir):
     c = components(load(spark, sf_dir, "documents"))
     return c.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

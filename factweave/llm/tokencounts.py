@@ -8,7 +8,10 @@ it, so a document's length is the distance between two ends even where it spans
 The end id must not occur inside documents; the vocabulary's own end-of-text id never does, as
 its string in a text is encoded as ordinary text.
 
-Defined results: ids after a file's last end count as a last document with ended = false. An empty file
+Documents' ids lie beside the tokens in document order, so the task that holds a block's ends reads just
+their range of ids.
+
+Defined results: repeated, null and text ids stay as they are; ids after a file's last end count as a last document with ended = false. An empty file
 has no documents.
 """
 
@@ -21,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.functions.session import checkpointed
 from factweave.llm import tokenfiles
 from factweave.llm.common import load
 
@@ -56,32 +60,59 @@ def _blocks(block: int):
     return run
 
 
-def count(files: DataFrame, end_id: int = END_OF_TEXT, block: int = BLOCK) -> DataFrame:
-    """files: path, width (bytes an id). Returns path, ordinal (in the file), n_tokens (with the end id) and ended."""
+def scanned(files: DataFrame, end_id: int = END_OF_TEXT, block: int = BLOCK) -> DataFrame:
+    """files: path, width (bytes an id). A row per block: its ends, the last end before it (prev), the documents before it (done), and whether it is its file's last.
+
+    The prefix scan sees a few numbers a block; the ends meet them again by block.
+    """
     sizes = files.select("path", F.col("width").cast("int").alias("width")).mapInArrow(_blocks(block), "path string, width int, first long, n long")
-    found = sizes.repartition("path", "first").mapInArrow(_scan(end_id), "path string, first long, stop long, last_end long, n_ends long, ends array<long>")
+    found = checkpointed(sizes.repartition("path", "first").mapInArrow(_scan(end_id), "path string, first long, stop long, last_end long, n_ends long, ends array<long>"))
     before = Window.partitionBy("path").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("path").orderBy("first").rowsBetween(1, Window.unboundedFollowing)
-    found = found.select("*", F.coalesce(F.max("last_end").over(before), F.lit(-1)).alias("prev"), F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("done"), F.coalesce(F.max("stop").over(after), F.lit(-1)).alias("more"))
-    each = found.select("path", "prev", "done", "ends", F.posexplode("ends").alias("i", "end"))
-    last = F.when(F.col("i") == 0, F.col("prev")).otherwise(F.element_at("ends", F.greatest(F.col("i"), F.lit(1))))
-    whole = each.select("path", (F.col("done") + F.col("i")).alias("ordinal"), (F.col("end") - last).alias("n_tokens"), F.lit(True).alias("ended"))
-    end = F.coalesce("last_end", "prev") + 1
-    rest = found.where((F.col("more") < 0) & (F.col("stop") > end)).select("path", (F.col("done") + F.col("n_ends")).alias("ordinal"), (F.col("stop") - end).alias("n_tokens"), F.lit(False).alias("ended"))
-    return whole.union(rest)
+    order = Window.partitionBy("path").orderBy("first")
+    slim = found.select("path", "first", F.coalesce(F.max("last_end").over(before), F.lit(-1)).alias("prev"), F.coalesce(F.sum("n_ends").over(before), F.lit(0)).alias("done"), F.lead("first").over(order).isNull().alias("final"))
+    return found.join(slim, ["path", "first"])
+
+
+def _lengths(prev: int, ends: np.ndarray) -> np.ndarray:
+    """Distances between ends: the documents that end in a block."""
+    return np.diff(ends, prepend=prev)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            ends = np.array(r["ends"], np.int64)
+            n, ended = _lengths(r["prev"], ends), np.ones(len(ends), bool)
+            last = r["prev"] if r["last_end"] is None else r["last_end"]
+            if r["final"] and r["stop"] > last + 1:
+                n, ended = np.append(n, r["stop"] - last - 1), np.append(ended, False)
+            yield pa.RecordBatch.from_arrays([pa.array([r["path"]] * len(n), pa.string()), pa.array(r["done"] + np.arange(len(n))), pa.array(n), pa.array(ended)], ["path", "ordinal", "n_tokens", "ended"])
+
+
+def count(files: DataFrame, end_id: int = END_OF_TEXT, block: int = BLOCK) -> DataFrame:
+    """files: path, width (bytes an id). Returns path, ordinal (in the file), n_tokens (with the end id) and ended."""
+    return scanned(files, end_id, block).mapInArrow(_counts, "path string, ordinal long, n_tokens long, ended boolean")
 
 
-def _doc_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of a block's documents with their ids, which the task reads by ordinal from the file beside the tokens."""
     for batch in batches:
         for r in batch.to_pylist():
-            ids = tokenfiles.names(r["stem"])
-            yield pa.RecordBatch.from_arrays([pa.array([f"{r['stem']}.bin"] * len(ids)), pa.array(np.arange(len(ids))), ids], ["path", "ordinal", "doc_id"])
+            n, at = _lengths(r["prev"], np.array(r["ends"], np.int64)), 0
+            for ids in tokenfiles.names(r["path"].removesuffix(".bin"), r["done"], r["done"] + len(n)):
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n[at : at + len(ids)])], ["doc_id", "n_tokens"])
+                at += len(ids)
+
+
+def named(files: DataFrame, id_type: str = "bigint", end_id: int = END_OF_TEXT, block: int = BLOCK) -> DataFrame:
+    """doc_id and n_tokens of files that tokenfiles.write made; no row of a document is joined."""
+    return scanned(files, end_id, block).mapInArrow(_named, f"doc_id {id_type}, n_tokens long")
 
 
-def query(spark, sf_dir):
-    """Token counts of documents: files are written first, then counted without their offsets; document ids join by place in the file."""
-    made = tokenfiles.write(load(spark, sf_dir, "documents"), end_id=END_OF_TEXT, ordered=False)
+def query(spark, sf_dir, block: int = BLOCK):
+    """Token counts of documents: files are written first, then counted without their offsets."""
+    docs = load(spark, sf_dir, "documents")
+    made = tokenfiles.write(docs, end_id=END_OF_TEXT, ordered=False)
     n = max(1, made.count())
-    counts = count(made.select(F.concat("stem", F.lit(".bin")).alias("path"), "width").repartition(n))
-    ids = made.select("stem").repartition(n).mapInArrow(_doc_ids, "path string, ordinal long, doc_id long")
-    return counts.join(ids, ["path", "ordinal"]).select("doc_id", "n_tokens")
+    files = made.select(F.concat("stem", F.lit(".bin")).alias("path"), "width").repartition(n)
+    return named(files, docs.schema["doc_id"].dataType.simpleString(), block=block)

@@ -9,7 +9,8 @@ count. Bases of partitions are prefix sums over the manifest. Files:
 - <part>.idx: 64-bit offsets (in ids) of each document and of the end;
 - <part>.doc: the document ids, as an Arrow file (any type, nulls allowed).
 
-Readers map files into memory where the folder is local to them (mounted), else they stream them.
+Readers map files into memory where the folder is local to them (mounted); from any other store they
+read the ranges they need, so memory is bounded by a batch of documents either way.
 
 Defined results: null texts are empty; an empty text has its end id only; null ids come first; repeated
 rows are documents of their own; an empty table gives no file.
@@ -82,35 +83,52 @@ def write(docs: DataFrame, out: str | None = None, doc_id: str = "doc_id", text:
     return spark.createDataFrame([(*r, d, t) for r, d, t in zip(rows, *(s[:-1] for s in sums), strict=True)], MANIFEST)
 
 
-def mapped(path: str, kind: str) -> np.ndarray:
-    """A whole file as an array, mapped where it is local."""
-    store, at = place(path)
-    if not store.get_file_info(at).size:
-        return np.zeros(0, kind)
-    if store.type_name == "local":
-        return np.memmap(at, dtype=kind, mode="r")
-    return np.frombuffer(store.open_input_file(at).read(), kind)
+class Flat:
+    """A file of numbers: mapped where it is local, else read by ranges."""
 
+    def __init__(self, path: str, kind: str):
+        store, at = place(path)
+        self.kind, self.size = np.dtype(kind), store.get_file_info(at).size // np.dtype(kind).itemsize
+        self.map = np.memmap(at, dtype=kind, mode="r") if store.type_name == "local" and self.size else None
+        self.file = None if self.map is not None else store.open_input_file(at)
 
-def names(stem: str) -> pa.Array:
+    def slice(self, lo: int, hi: int) -> np.ndarray:
+        if self.map is not None:
+            return np.asarray(self.map[lo:hi])
+        return np.frombuffer(self.file.read_at((hi - lo) * self.kind.itemsize, lo * self.kind.itemsize), self.kind)
+
+
+def names(stem: str, lo: int = 0, hi: int | None = None) -> Iterator[pa.Array]:
+    """Ids of the documents from lo to hi in a file, by batches as they were written."""
     store, at = place(f"{stem}.doc")
-    table = pa.ipc.open_file(pa.memory_map(at) if store.type_name == "local" else store.open_input_file(at)).read_all()
-    return table.column(0).combine_chunks() if table.num_rows else table.schema.field(0).type
+    reader = pa.ipc.open_file(pa.memory_map(at) if store.type_name == "local" else store.open_input_file(at))
+    n = 0
+    for k in range(reader.num_record_batches):
+        batch = reader.get_batch(k)
+        first, last = max(lo - n, 0), batch.num_rows if hi is None else min(hi - n, batch.num_rows)
+        if first < last:
+            yield batch.column(0).slice(first, last - first)
+        n += batch.num_rows
+        if hi is not None and n >= hi:
+            break
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
-            flat, idx, docs = mapped(f"{r['stem']}.bin", f"<u{r['width']}"), mapped(f"{r['stem']}.idx", "<i8"), names(r["stem"])
-            lo = 0
-            while lo < r["n_docs"]:
-                hi = max(lo + 1, int(np.searchsorted(idx, idx[lo] + READ_IDS, "right")) - 1)
-                start, ends = int(idx[lo]), np.asarray(idx[lo + 1 : hi + 1])
-                yield pa.RecordBatch.from_arrays(
-                    [docs.slice(lo, hi - lo), pa.array(r["doc_base"] + np.arange(lo, hi)), pa.array(r["token_base"] + np.asarray(idx[lo:hi])), pa.array(np.diff(ends, prepend=start)), ids_binary(flat[start : ends[-1]].astype("<u4"), ends - start)],
-                    ["doc_id", "ordinal", "start", "n_tokens", "ids"],
-                )
-                lo = hi
+            flat, idx = Flat(f"{r['stem']}.bin", f"<u{r['width']}"), Flat(f"{r['stem']}.idx", "<i8")
+            first = 0
+            for docs in names(r["stem"]):
+                ends, lo = idx.slice(first, first + len(docs) + 1), 0
+                while lo < len(docs):
+                    hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + READ_IDS, "right")) - 1)
+                    start, own = int(ends[lo]), ends[lo + 1 : hi + 1]
+                    yield pa.RecordBatch.from_arrays(
+                        [docs.slice(lo, hi - lo), pa.array(r["doc_base"] + first + np.arange(lo, hi)), pa.array(r["token_base"] + ends[lo:hi]), pa.array(np.diff(own, prepend=start)), ids_binary(flat.slice(start, int(own[-1])).astype("<u4"), own - start)],
+                        ["doc_id", "ordinal", "start", "n_tokens", "ids"],
+                    )
+                    lo = hi
+                first += len(docs)
 
 
 def read(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:

@@ -60,3 +60,20 @@ def test_clean_and_columns(spark):
     assert out[1].text == "Keep this. and That!" and out[2].text == "nothing here" and out[3].text is None
     assert D.scan(d, b.limit(0)).where("contaminated or n_hit > 0").count() == 0 and D.scan(d, b.limit(0)).count() == 4
     assert D.scan(d.limit(0), b).count() == 0
+
+
+@pytest.mark.parametrize("bound", [1 << 30, 0])
+def test_long_texts_of_hits_take_linear_time(spark, bound):
+    import time
+
+    item = " ".join(f"w{i}" for i in range(64))
+    text = "Start, " + " and so ".join([item.upper()] * 6000) + " end"
+    d = spark.createDataFrame([(1, text), (2, "nothing")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, item), (2, "w1 w2 w3")], "item_id long, text string")
+    began = time.time()
+    r = {x.row.doc_id: x for x in D.scan(d, b, min_items=3, broadcast_bytes=bound).collect()}
+    assert r[1].n_hit == 64 * 6000 and len(r[1]["items"]) == 2 and r[2].n_hit == 0
+    if bound:
+        out = {x.doc_id: x.text for x in D.clean(d, b, min_items=3).collect()}
+        assert out[1] == "Start, " + "and so " * 5999 + "end"
+    assert time.time() - began < 60

@@ -87,8 +87,8 @@ def test_hot_shards_go_to_deeper_levels(spark):
     want = simhash.classes(np.array(fps, np.int64).view(np.uint64))
     from factweave.operators.graph import components
 
-    for limit in (2, 20, 8192):
-        named = {r.node: r.component for r in components(simhash.links(df, shard_rows=limit)).collect()}
+    for limit, tree in ((2, 2048), (20, 16), (8192, 2048)):
+        named = {r.node: r.component for r in components(simhash.links(df, shard_rows=limit, tree=tree)).collect()}
         got = [fps.index(named.get(f, f)) for f in fps]
         assert got == list(want), limit
 
@@ -97,14 +97,6 @@ def test_empty_table(spark):
     assert simhash.components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_dedup_keeps_one_of_each_and_all_columns(spark):
-    rows = [(3, "a b c d", "x", 1), (1, "a b c d", "y", 1), (1, "a b c d", "y", 1), (2, None, "x", 1), (7, "", None, 1), (9, "other words here now", "z", 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, row int")
-    got = sorted(tuple(r) for r in simhash.dedup(df).collect())
-    assert got == [(1, "a b c d", "y", 1), (2, None, "x", 1), (9, "other words here now", "z", 1)]
-    assert simhash.dedup(df).columns == df.columns
-
-
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 2**12 - 1), min_size=1, max_size=120, unique=True), st.integers(0, 4))
 def test_bk_tree_finds_all(xs, radius):
@@ -114,3 +106,24 @@ def test_bk_tree_finds_all(xs, radius):
         found |= {(i, int(j)) for j in near}
     want = {(i, j) for i in range(len(xs)) for j in range(len(xs)) if int(fps[i] ^ fps[j]).bit_count() <= radius}
     assert found - {(i, i) for i in range(len(xs))} == want - {(i, i) for i in range(len(xs))}
+
+
+def test_trees_branch_and_wide_fingerprints():
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 63, (1500, 4)).astype(np.uint64)
+    fps[700:] = fps[:800]
+    for row in fps[700:]:
+        for k in rng.integers(0, 256, 30):
+            row[k // 64] ^= np.uint64(1) << np.uint64(k % 64)
+    tree = simhash.BKTree(fps)
+    assert tree.branches > 10
+    got = {i: set(near.tolist()) for i, near in tree.matches(fps, 40)}
+    for i in range(0, 1500, 37):
+        want = {j for j in range(1500) if sum(int(a ^ b).bit_count() for a, b in zip(fps[i], fps[j], strict=True)) <= 40}
+        assert got.get(i, {i}) == want
+
+
+def test_first_level_keeps_few_bits():
+    for bits in (0, 1, 5, 16, 40):
+        masks = simhash.levels(3, bits)[0]
+        assert all(m.bit_count() == min(bits, 16) for m in masks) and len(masks) == (4 if bits else 1)

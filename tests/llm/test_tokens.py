@@ -90,6 +90,36 @@ def test_separator_scan_stitches_blocks(spark, tmp_path):
         assert sorted(r.n_tokens for r in got) == want and all(r.ended for r in got)
 
 
+def test_counts_query_has_the_ids_of_its_documents(spark, tmp_path, monkeypatch):
+    t = plain(tokenfiles.VOCABULARY)
+    rows = [(5, "one two"), (5, "one two"), (None, "three"), (7, None), (8, ""), (9, "a much longer text " * 50), (1, "<|endoftext|> inside"), (10, "é🙂")]
+    for kind, name in ((lambda d: d, "long"), (lambda d: None if d is None else f"id{d}", "string")):
+        spark.createDataFrame([(kind(d), x) for d, x in rows], f"doc_id {name}, text string").repartition(3).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        want = sorted(((kind(d), len(t.encode(x or "", add_special_tokens=False).ids) + 1) for d, x in rows), key=str)
+        for block in (3, tokencounts.BLOCK):
+            got = tokencounts.query(spark, f"{tmp_path}/{name}", block=block)
+            assert got.columns == ["doc_id", "n_tokens"] and sorted((tuple(r) for r in got.collect()), key=str) == want
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert tokencounts.query(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_files_of_a_store_that_cannot_be_mapped(spark, tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    rows, df = documents(spark)
+    manifest = tokenfiles.write(df, str(tmp_path)).collect()
+    monkeypatch.setattr(tokenfiles, "READ_IDS", 5)
+    read = lambda: [r for m in manifest for b in tokenfiles._read(iter([pa.RecordBatch.from_pylist([m.asDict()])])) for r in b.to_pylist()]
+    near = read()
+    store = lambda path: (fs.SubTreeFileSystem("/", fs.LocalFileSystem()), path.lstrip("/"))
+    monkeypatch.setattr(tokenfiles, "place", store)
+    assert read() == near and len(near) == len(rows)
+    stem = max(manifest, key=lambda m: m.n_docs).stem
+    every = [x for a in tokenfiles.names(stem) for x in a.to_pylist()]
+    for lo, hi in ((0, 2), (1, 3), (2, 2), (0, len(every))):
+        assert [x for a in tokenfiles.names(stem, lo, hi) for x in a.to_pylist()] == every[lo:hi]
+
+
 def test_separator_scan_edges(spark, tmp_path):
     for name, ids in (("none", []), ("open", [1, 2, 3]), ("ends", [7, 7, 1, 7, 5]), ("long", [1] * 10 + [7])):
         np.array(ids, "<u2").tofile(tmp_path / name)
