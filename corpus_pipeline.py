@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from factweave.functions.session import shared_dir, ship
-from factweave.llm import decontaminate, packing, pii, quality, simhash
+from factweave.llm import decontaminate, neardups, packing, pii, quality
 from factweave.llm.common import load
 
 
@@ -22,9 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
     ship(spark)
-    return simhash.dedup(docs)
+    return neardups.dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
