@@ -5,25 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EPSILON = 1e-9
+EPSILON = 2.0**-52
 
 
 def ratio(part: Column, total: Column) -> Column:
     return F.when(total > 0, part / total).otherwise(F.lit(0.0))
 
 
+def capped(value: Column, most: float) -> Column:
+    """min(value / most, 1); with a limit of 0 any value but 0 is 1."""
+    if most == 0:
+        return F.when(value == 0, F.lit(0.0)).otherwise(F.lit(1.0))
+    return F.least(value / most, F.lit(1.0))
+
+
 def composite(parts: list[tuple[float, Column, float]]) -> Column:
-    """Sum of weight * min(value / most, 1); a part without a limit counts 0."""
+    """Sum of weight * min(value / most, 1)."""
     out = F.lit(0.0)
     for weight, value, most in parts:
-        out = out + (F.lit(weight) * F.least(value / most, F.lit(1.0)) if most > 0 else F.lit(0.0))
+        out = out + F.lit(weight) * capped(value, most)
     return out
 
 
 def ramp(x: Column, low: float, high: float) -> Column:
-    """0 up to low, 1 from high on, linear between; limits the wrong way round give 1 above low."""
+    """0 up to low, 1 from high on, linear between; limits the wrong way round, or equal, give 1 for every value."""
     if high <= low:
-        return F.when(x <= low, F.lit(0.0)).otherwise(F.lit(1.0))
+        return F.when(x.isNotNull(), F.lit(1.0))
     return F.when(x <= low, F.lit(0.0)).when(x >= high, F.lit(1.0)).otherwise((x - low) / (high - low))
 
 
@@ -33,8 +40,8 @@ def deficit(count: Column, total: Column) -> Column:
 
 
 def weighted(scores: list[Column], weights: list[float]) -> Column:
-    """clamp(1 - active * (1 - sum of score * weight)), active being how many weights count."""
-    active = sum(w > EPSILON for w in weights)
+    """clamp(1 - active * (1 - sum of score * weight)), active being how many weights count, 1 at least."""
+    active = max(1, sum(w > EPSILON for w in weights))
     mean = sum((s * w for s, w in zip(scores, weights, strict=True)), F.lit(0.0))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - active * (1 - mean)))
 

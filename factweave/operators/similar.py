@@ -42,6 +42,16 @@ def fragments(rows: DataFrame, seq: str, ord: str, value: str, size: str | None
     w = Window.partitionBy("seq").orderBy("ord")
     span = w.rowsBetween(0, window - 1)
     x = x.withColumn("at", F.row_number().over(w)).withColumn("values", F.collect_list("value").over(span)).where(F.size("values") == window).select("seq", "at", F.xxhash64("values").alias("h"), "values")
+    out = window_runs(x, window, cap)
+    if not min_size:
+        return out
+    sized = rows.select(F.col(seq).alias("seq_a"), F.row_number().over(Window.partitionBy(seq).orderBy(ord)).alias("at"), F.col(size).alias("size"))
+    total = out.join(sized, "seq_a").where("at between start_a and start_a + rows - 1").groupBy("seq_a", "seq_b", "start_a", "start_b", "rows").agg(F.sum("size").alias("_size"))
+    return total.where(F.col("_size") >= min_size).drop("_size")
+
+
+def window_runs(x: DataFrame, window: int, cap: int | None = 50) -> DataFrame:
+    """K8 from the windows on: seq, at, h and values of each; equal ones in two sequences merge to runs where each follows the other directly."""
     g = x.groupBy("h", "values").agg(F.count("*").alias("n")).where(F.col("n") >= 2 if cap is None else F.col("n").between(2, cap)).select("h", "values")
     x = x.join(g, ["h", "values"], "left_semi")
     a, b = (x.select("h", "values", F.col("seq").alias(f"seq_{k}"), F.col("at").alias(f"at_{k}")) for k in "ab")
@@ -49,9 +59,4 @@ def fragments(rows: DataFrame, seq: str, ord: str, value: str, size: str | None
     o = Window.partitionBy("seq_a", "seq_b").orderBy("at_a", "at_b")
     follows = (F.col("at_a") - F.lag("at_a").over(o) == 1) & (F.col("at_b") - F.lag("at_b").over(o) == 1)
     runs = pairs.withColumn("_new", F.when(follows, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(o))
-    out = runs.groupBy("seq_a", "seq_b", "_run").agg(F.min("at_a").alias("start_a"), F.min("at_b").alias("start_b"), (F.count("*") + window - 1).alias("rows")).drop("_run")
-    if not min_size:
-        return out
-    sized = rows.select(F.col(seq).alias("seq_a"), F.row_number().over(Window.partitionBy(seq).orderBy(ord)).alias("at"), F.col(size).alias("size"))
-    total = out.join(sized, "seq_a").where("at between start_a and start_a + rows - 1").groupBy("seq_a", "seq_b", "start_a", "start_b", "rows").agg(F.sum("size").alias("_size"))
-    return total.where(F.col("_size") >= min_size).drop("_size")
+    return runs.groupBy("seq_a", "seq_b", "_run").agg(F.min("at_a").alias("start_a"), F.min("at_b").alias("start_b"), (F.count("*") + window - 1).alias("rows")).drop("_run")

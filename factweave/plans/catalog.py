@@ -142,7 +142,8 @@ def _suppliers(spark, sf):
 
 def k17_composite(spark, sf):
     s = sets_score(_suppliers(spark, sf))
-    return s.where("score >= 0.5").select("l_suppkey", F.round("score", 6).alias("score"))
+    unlimited = scoring.composite([(1.0, F.col("returned"), 0), (0.5, F.col("items") - F.col("items"), 0)])
+    return s.where("score >= 0.5").select("l_suppkey", F.round("score", 6).alias("score"), unlimited.alias("unlimited"))
 
 
 def sets_score(s: DataFrame) -> DataFrame:
@@ -185,7 +186,7 @@ def k22_candidates(spark, sf):
 def k23_score(spark, sf):
     c = _t(spark, sf, "orders").agg(F.count("*").alias("total"), *(F.sum((F.col("o_orderstatus") == x).cast("long")).alias(x) for x in "FOP"), F.sum((F.col("o_totalprice") > 300000).cast("long")).alias("dear"))
     scores = [scoring.ratio(F.col("F") + F.col("O"), F.col("total")), scoring.deficit(F.col("P"), F.col("total")), scoring.deficit(F.col("dear"), F.col("total"))]
-    return c.select(F.round(scoring.weighted(scores, [0.5, 0.3, 0.2]), 6).alias("score"), *(F.round(s, 6).alias(f"score_{i}") for i, s in enumerate(scores)))
+    return c.select(F.round(scoring.weighted(scores, [0.5, 0.3, 0.2]), 6).alias("score"), F.round(scoring.weighted(scores, [0.0, 0.0, 0.0]), 6).alias("unweighted"), *(F.round(s, 6).alias(f"score_{i}") for i, s in enumerate(scores)))
 
 
 def _snapshot(spark, sf, odd):
@@ -269,14 +270,14 @@ SELECT g.* FROM g WHERE (SELECT sum(size) FROM f WHERE doc_id = seq_a AND pos BE
     "k14_closure": f"WITH RECURSIVE {_G}, c AS (SELECT n_nationkey AS node FROM nation WHERE n_regionkey = 1 UNION SELECT dst FROM c JOIN g ON node = src) SELECT node FROM c",
     "k15_settle": f"WITH RECURSIVE {_G}, r AS (SELECT c_nationkey AS node, avg(c_acctbal) < 4400 AS bad FROM customer GROUP BY 1), e AS (SELECT src, dst FROM g JOIN r a ON src = a.node AND a.bad JOIN r b ON dst = b.node AND b.bad), c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src), o AS (SELECT DISTINCT src AS node FROM c WHERE src = dst), h AS (SELECT node FROM o UNION SELECT c.src FROM c JOIN o ON c.dst = o.node) SELECT node, bad AND node IN (FROM h) AS bad FROM r",
     "k16_flags": " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, '{r}' AS rule_id, {c}::DOUBLE AS value, {m}::DOUBLE AS \"limit\" FROM lineitem WHERE {c} > {m}" for r, c, m in (("quantity", "l_quantity", 49), ("price", "l_extendedprice", 90000), ("discount", "l_discount", 0.09), ("tax", "l_tax", 0.07))),
-    "k17_composite": f"WITH {_S}, x AS (SELECT l_suppkey, 0.5::DOUBLE * least(returned / items / 0.4::DOUBLE, 1) + 0.3::DOUBLE * least(open / items / 0.6::DOUBLE, 1) + 0.2::DOUBLE * least(largest / 50, 1) AS score FROM s) SELECT l_suppkey, round(score, 6) AS score FROM x WHERE score >= 0.5",
-    "k18_ramp": "SELECT p_partkey, round(CASE WHEN p_retailprice <= 1000 THEN 0.0 WHEN p_retailprice >= 1800 THEN 1.0 ELSE (p_retailprice - 1000) / 800 END, 6)::DOUBLE AS ramp, CASE WHEN p_size <= 30 THEN 0.0 ELSE 1.0 END::DOUBLE AS inverted FROM part",
+    "k17_composite": f"WITH {_S}, x AS (SELECT l_suppkey, 0.5::DOUBLE * least(returned / items / 0.4::DOUBLE, 1) + 0.3::DOUBLE * least(open / items / 0.6::DOUBLE, 1) + 0.2::DOUBLE * least(largest / 50, 1) AS score, CASE WHEN returned = 0 THEN 0 ELSE 1 END::DOUBLE AS unlimited FROM s) SELECT l_suppkey, round(score, 6) AS score, unlimited FROM x WHERE score >= 0.5",
+    "k18_ramp": "SELECT p_partkey, round(CASE WHEN p_retailprice <= 1000 THEN 0.0 WHEN p_retailprice >= 1800 THEN 1.0 ELSE (p_retailprice - 1000) / 800 END, 6)::DOUBLE AS ramp, 1.0::DOUBLE AS inverted FROM part",
     "k19_single": "SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_quantity >= 49 GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1",
     "k20_layers": f"SELECT p_type, {_LAYER} AS layer, count(*) AS n FROM part GROUP BY 1, 2",
     "k20_rank_violations": f"WITH n AS (SELECT p_partkey, {_LAYER} AS layer FROM part), r AS (SELECT *, {_RANK} AS rank FROM n) SELECT a.p_partkey AS src, b.p_partkey AS dst, a.layer AS src_layer, b.layer AS dst_layer FROM r a JOIN r b ON b.p_partkey = a.p_partkey + 1 WHERE b.rank > a.rank",
     "k21_scope": "SELECT page_id, url FROM pages WHERE contains(url, '/en/') AND NOT contains(url, 'blog.') AND NOT contains(url, '?')",
     "k22_candidates": "WITH p AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '^https?://', ''), '/'), lambda x: x <> '') AS s FROM pages), c AS (SELECT page_id, s[1] AS host, unnest(list_transform(range(1, len(s) + 1), lambda k: array_to_string(s[1:k], '/'))) AS x FROM p) SELECT page_id, host FROM c GROUP BY 1, 2 HAVING bool_or(contains(x, 'example.com')) AND NOT bool_or(x LIKE '%/de')",
-    "k23_score": "WITH c AS (SELECT count(*) AS total, sum((o_orderstatus IN ('F', 'O'))::INT) AS fo, sum((o_orderstatus = 'P')::INT) AS p, sum((o_totalprice > 300000)::INT) AS dear FROM orders), s AS (SELECT fo / total AS a, 1 - least(p / greatest(total, 1), 1) AS b, 1 - least(dear / greatest(total, 1), 1) AS c FROM c) SELECT round(greatest(0, least(1, 1 - 3 * (1 - (a * 0.5::DOUBLE + b * 0.3::DOUBLE + c * 0.2::DOUBLE)))), 6)::DOUBLE AS score, round(a, 6) AS score_0, round(b, 6) AS score_1, round(c, 6) AS score_2 FROM s",
+    "k23_score": "WITH c AS (SELECT count(*) AS total, sum((o_orderstatus IN ('F', 'O'))::INT) AS fo, sum((o_orderstatus = 'P')::INT) AS p, sum((o_totalprice > 300000)::INT) AS dear FROM orders), s AS (SELECT fo / total AS a, 1 - least(p / greatest(total, 1), 1) AS b, 1 - least(dear / greatest(total, 1), 1) AS c FROM c) SELECT round(greatest(0, least(1, 1 - 3 * (1 - (a * 0.5::DOUBLE + b * 0.3::DOUBLE + c * 0.2::DOUBLE)))), 6)::DOUBLE AS score, greatest(0, least(1, 1 - 1 * (1 - 0)))::DOUBLE AS unweighted, round(a, 6) AS score_0, round(b, 6) AS score_1, round(c, 6) AS score_2 FROM s",
     "k24_diff": "WITH c AS (SELECT o_orderkey % 2 AS odd, unnest(['orders', 'filled', 'urgent']) AS counter, unnest([1, (o_orderstatus = 'F')::INT, (o_orderpriority = '1-URGENT')::INT])::DOUBLE AS v FROM orders), s AS (SELECT counter, sum(CASE WHEN odd = 0 THEN v ELSE 0 END) AS old, sum(CASE WHEN odd = 1 THEN v ELSE 0 END) AS new FROM c GROUP BY 1) SELECT counter, old, new, new - old AS delta FROM s",
     "k25_first": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1",
     "k26_uncovered": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)",

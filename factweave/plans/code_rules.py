@@ -51,27 +51,52 @@ def wildcards(imports: DataFrame) -> DataFrame:
     return finding(g.withColumn("_m", at), "dry", "DRY-004", F.concat(F.lit("wildcard import "), F.col("_m")), "low", line="use_line")
 
 
-def signatures(functions: DataFrame) -> DataFrame:
-    """Too many parameters (trait impls are exempt) and bodies of too many lines (tests are exempt)."""
-    wide = functions.where((F.col("parameter_count") > MAX_PARAMETERS) & ~F.col("is_trait_impl"))
-    long = functions.withColumn("n", F.col("end_line") - F.col("body_line") + 1).where(F.col("has_body") & (F.col("n") > MAX_LINES) & ~F.col("is_test"))
-    return union([
-        finding(wide, "srp", "SRP-003", F.format_string("%s has %d parameters", "name", "parameter_count")),
-        finding(long, "complexity", "CX-004", F.format_string("%s is %d lines long", "name", "n")),
-    ])
-
-
-def analyse(files: DataFrame) -> DataFrame:
-    """All findings of these rules for a table of sources (path, content), with markers applied."""
-    from factweave.frontend.items import facts, of_kind
+def signatures(functions: DataFrame, most: int = MAX_PARAMETERS) -> DataFrame:
+    """Too many parameters; trait impls are exempt."""
+    wide = functions.where((F.col("parameter_count") > most) & ~F.col("is_trait_impl"))
+    return finding(wide, "srp", "SRP-003", F.format_string("%s has %d parameters", "name", "parameter_count"))
+
+
+def tables(files: DataFrame) -> dict[str, DataFrame]:
+    """Fact tables of sources (path, content) by kind; functions have an id in file order and know whether they are tests."""
+    from factweave.frontend.items import SCHEMAS, facts, of_kind
     from factweave.functions.session import checkpointed, ship
-    from factweave.plans.findings import suppress
-    from factweave.sources.markers import suppressions
+    from factweave.plans.functions import test_files, with_tests
 
     ship(files.sparkSession)
     f = checkpointed(facts(files))
-    imports, functions = of_kind(f, "import"), of_kind(f, "function")
+    out = {k: of_kind(f, k) for k in SCHEMAS}
+    out["tests"] = test_files(files, out["module"])
+    key = F.concat_ws(":", "file", F.lpad(F.col("line").cast("string"), 9, "0"), "name")
+    out["function"] = checkpointed(with_tests(out["function"].withColumn("id", key), out["tests"]))
+    return out
+
+
+def analyse(files: DataFrame, config=None, coverage: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """All findings for a table of sources (path, content), with markers applied. coverage: hits by function and by line."""
+    from factweave.plans import duplicates, functions, responsibility, structure, testing
+    from factweave.plans.config import Config
+    from factweave.plans.findings import suppress
+    from factweave.sources.markers import plain_markers, suppressions
+
+    config = config or Config()
+    t = tables(files)
+    imports, f = t["import"], duplicates.with_markers(t["function"], plain_markers(files, "api"), plain_markers(files, "test_helper"))
     marks = suppressions(files)
     covered = marks.where((F.size("dims") == 0) | F.array_contains("dims", "coupling")).select(module_of(F.col("file")).alias("node")).distinct()
-    found = union([coupling(files, imports, covered), wildcards(imports), signatures(functions)])
-    return suppress(found, marks)
+    classified = functions.classify(f, t["type"], config, plain_markers(files, "recursive"))
+    found = [functions.violations(classified), functions.complexity(classified, config, plain_markers(files, "unsafe"))]
+    if config.coupling.enabled:
+        found.append(coupling(files, imports, covered))
+    if config.duplicates.enabled:
+        found += [duplicates.duplicates(f, config), duplicates.fragments(f, config)]
+        found += [wildcards(imports)] if config.duplicates.detect_wildcard_imports else []
+        found += [duplicates.dead_code(f, imports, config)] if config.duplicates.detect_dead_code else []
+    if config.srp.enabled:
+        found += [responsibility.structs(f, t["type"], config), responsibility.modules(t["source"], f, classified, t["tests"], config), signatures(f, config.srp.max_parameters)]
+    if config.structural.enabled:
+        found.append(structure.checks(f, t["type"], t["impl"], config))
+    if config.test_quality.enabled:
+        found += [testing.silent(f, config), testing.aimless(f, t["type"]), testing.untested(f, imports, config)]
+        found += [testing.uncovered(classified, *coverage)] if coverage else []
+    return suppress(union(found), marks)

@@ -64,11 +64,47 @@ def counters(findings: DataFrame) -> DataFrame:
     return findings.where("not suppressed").groupBy("dimension", "rule_id").agg(F.count("*").alias("n"))
 
 
+#: Rules whose findings count for a dimension's score; a cycle counts twice there.
+TWICE = ("CP-001",)
+
+
+def counted(findings: DataFrame) -> DataFrame:
+    """dimension, rule_id, n as the summary counts: CX-001 and CX-002 of one function are one."""
+    f = findings.where("not suppressed")
+    pair = F.col("rule_id").isin("CX-001", "CX-002")
+    one = f.where(pair).select("dimension", F.lit("CX-001").alias("rule_id"), "file", "line").distinct().drop("file", "line")
+    return f.where(~pair).select("dimension", "rule_id").unionByName(one.select("dimension", "rule_id")).groupBy("dimension", "rule_id").agg(F.count("*").alias("n"))
+
+
 def scores(findings: DataFrame, functions: int, classes: dict[str, int] | None = None, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """One row: a score per dimension, and quality_score. classes: integration, operation, violation counts for the first dimension."""
+    """One row: a score per dimension, quality_score and total_findings. classes: integration, operation, violation counts for the first dimension."""
     c = classes or {}
     sound = c.get("integration", 0) + c.get("operation", 0)
-    per = findings.where("not suppressed").agg(*(F.count(F.when(F.col("dimension") == d, 1)).alias(d) for d in weights))
-    first = F.lit(1.0 if not sound + c.get("violation", 0) else sound / (sound + c["violation"] if "violation" in c else sound))
+    every = sound + c.get("violation", 0)
+    worth = F.col("n") * F.when(F.col("rule_id").isin(*TWICE), 2).otherwise(1)
+    per = counted(findings).agg(*(F.coalesce(F.sum(F.when(F.col("dimension") == d, worth)), F.lit(0)).alias(d) for d in weights), F.coalesce(F.sum(F.when(F.col("dimension").isin(*weights), F.col("n"))), F.lit(0)).alias("total_findings"))
+    first = F.lit(sound / every if every else 1.0)
     each = [first if d == "iosp" and classes else scoring.deficit(F.col(d), F.lit(functions)) for d in weights]
-    return per.select(*(s.alias(f"{d}_score") for d, s in zip(weights, each, strict=True)), scoring.weighted(each, list(weights.values())).alias("quality_score"))
+    return per.select(*(s.alias(f"{d}_score") for d, s in zip(weights, each, strict=True)), scoring.weighted(each, list(weights.values())).alias("quality_score"), "total_findings")
+
+
+def suppression_ratio(markers: DataFrame, files: DataFrame, functions: int, limit: float = 0.05) -> DataFrame:
+    """One row: all_suppressions (markers, and allow attributes before the first test module) and whether they are too many for so many functions."""
+    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("i", "text"))
+    t = F.trim("text")
+    stop = lines.where(F.startswith(t, F.lit("#[cfg(test)]"))).groupBy("path").agg(F.min("i").alias("stop"))
+    attrs = lines.where(F.startswith(t, F.lit("#[allow("))).join(stop, "path", "left").where("stop is null or i < stop").agg(F.count("*").alias("a"))
+    n = attrs.crossJoin(markers.agg(F.count("*").alias("m"))).select((F.col("a") + F.col("m")).alias("all_suppressions"))
+    return n.withColumn("suppression_ratio_exceeded", scoring.over_limit(F.col("all_suppressions"), F.lit(functions), limit))
+
+
+def gate(summary: DataFrame, fail_on_warnings: bool = False, min_quality: float | None = None, no_fail: bool = False) -> str | None:
+    """The first exit gate that fails for a summary of one row, or none."""
+    gates = []
+    if fail_on_warnings:
+        gates.append(("warnings", F.col("suppression_ratio_exceeded")))
+    if min_quality is not None:
+        gates.append(("min_quality", F.col("quality_score") * 100 < min_quality))
+    if not no_fail:
+        gates.append(("findings", F.col("total_findings") > 0))
+    return summary.select(scoring.first_gate(gates).alias("g")).first().g if gates else None

@@ -165,11 +165,11 @@ def test_scores(spark):
     one = spark.createDataFrame([(5.0, 0.0)], "x double, z double")
     val = lambda c: one.select(c.alias("v")).first().v
     x, z = F.col("x"), F.col("z")
-    assert val(scoring.composite([(0.5, x, 10), (0.5, x, 0), (0.25, x, 1)])) == 0.5
-    assert [val(scoring.ramp(x, *lh)) for lh in ((0, 10), (5, 9), (1, 5), (9, 1), (1, 0))] == [0.5, 0, 1, 0, 1]
+    assert val(scoring.composite([(0.5, x, 10), (0.5, x, 0), (0.25, x, 1), (2.0, z, 0)])) == 1.0
+    assert [val(scoring.ramp(x, *lh)) for lh in ((0, 10), (5, 9), (1, 5), (9, 1), (1, 0), (7, 7))] == [0.5, 0, 1, 1, 1, 1]
     assert val(scoring.ratio(x, z)) == 0 and val(scoring.deficit(x, z)) == 0 and val(scoring.over_limit(x, z, 0.1)) is False
     assert val(scoring.weighted([x / 5, z + 0.9], [0.5, 0.5])) == pytest.approx(0.9)
-    assert val(scoring.weighted([z, z], [0.5, 0.5])) == 0 and val(scoring.weighted([z], [0.0])) == 1
+    assert val(scoring.weighted([z, z], [0.5, 0.5])) == 0 and val(scoring.weighted([z], [0.0])) == 0 and val(scoring.weighted([z + 1], [0.0])) == 0
     assert val(scoring.first_gate([("a", x > 9), ("b", x > 1), ("c", x > 1)])) == "b"
     assert rows(sets.flags(one, [("r", x, 4), ("s", x, 5)], ["x"])) == [(5.0, "r", 5.0, 4.0)]
     d = scoring.diff(one, one.withColumn("x", x + 1), ["x", "z"])

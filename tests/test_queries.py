@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from factweave.plans import rule_queries
 from factweave.plans.catalog import QUERIES, SQL, TABLES
 
 TINY = "/root/testdata/sf0.001"
@@ -42,6 +43,11 @@ def test_query_as_sql(spark, db, name):
     same(spark, db, name, QUERIES, SQL)
 
 
+@pytest.mark.parametrize("name", sorted(rule_queries.QUERIES))
+def test_rule_as_listed(spark, db, name):
+    same(spark, db, name, rule_queries.QUERIES, rule_queries.SQL)
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["src", "dst", "src_metric", "dst_metric"] and df.count() > 0
