@@ -112,7 +112,7 @@ def candidates(fps: np.ndarray, radius: int, nearest: int = NEAREST) -> list[tup
 
 def _shards(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a partition sorted by shard; a shard may go on in the next batch."""
+        """Rows of a partition sorted by shard and key, so that a shard's candidates are the same in every run; a shard may go on in the next batch."""
         held: list[pa.RecordBatch] = []
 
         def search(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -174,7 +174,7 @@ def links(table: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS
             hot = checkpointed(left.join(keyed.join(size.where(F.col("n") > shard_rows), "shard", "left_semi").select("key").distinct(), "key", "left_semi"))
             size = size.where(F.col("n") <= shard_rows)
         rows = keyed.join(size, "shard", "left_semi").select("shard", "key", "sig")
-        got = checkpointed(rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_shards(radius), "a binary, b binary").distinct())
+        got = checkpointed(rows.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(_shards(radius), "a binary, b binary").distinct())
         found = got if found is None else found.union(got)
         if n + 1 < len(LEVELS):
             if hot.isEmpty():
