@@ -9,13 +9,14 @@ memory, and each group's tree is built down to the window's depth:
 2. Prefix counts, partially aggregated, tell which groups have one run only; no suffix in those repeats.
    The others are set in a bitmap of fixed size, the only thing that is broadcast. Where the
    corpus outgrows it, it lets more runs pass and changes no result.
-3. Variable length: a prefix with more runs than a group may hold (`group_runs`, or a millionth of all
-   runs) is lengthened to the whole run, and where that occurs once, to the whole window. Such a group is
+3. Variable length: a prefix with more runs than a group may hold (`group_runs`, the same at every size) is
+   lengthened to the whole run, and where that occurs once, to the whole window. Such a group is
    a single deep node that needs a count and no tree, so its leaves are counted with partial aggregation
-   by 128-bit hashes and never meet in a task.
-4. Trees: segments of a group become word numbers; ranks of the strings of 1, 2, 4, ... words are the tree's
-   nodes at those depths. Nodes at the window's depth with two leaves or more are repeats, and
-   neighbouring ones merge to maximal repeats.
+   by 128-bit hashes and never meet in a task. Long prefixes are told by a second bitmap of the same size; prefixes
+   that share a bit with one are lengthened too, all their runs alike, which changes no result.
+4. Trees: segments of a group become word numbers, each with an end of its own; suffixes are ordered by ranks of doubled
+   length, and the prefixes that neighbours share are the tree's inner nodes, of any depth. Nodes at the window's depth or
+   deeper that no longer repeat holds are maximal repeats.
 
 Results are keyed by a 128-bit hash of the whole text, so documents of equal text share ranges, and
 nothing depends on row numbers.
@@ -41,7 +42,7 @@ from factweave.llm.common import load, text_key
 from factweave.llm.tokens import slices
 
 WINDOW, GRAM, RUN = 35, 8, 64
-BITS, GROUP_RUNS, HOT_SHARE = 27, 10_000, 1_000_000
+BITS, GROUP_RUNS = 27, 10_000
 TREE_WORDS = 1 << 20
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -153,10 +154,9 @@ def _candidates(window: int, bits: int, shared, hot_only: bool):
                 words, count = split(batch.column(1))
                 h = word_hashes(words)
                 a, first, n = runs(h, count, window)
-                p = a & mask
-                go = (bitmap[(p >> np.uint64(6)).astype(np.int64)] >> (a & np.uint64(63))) & np.uint64(1) == 1
-                is_hot = np.isin(a, hot)
-                go &= is_hot == hot_only
+                at, bit = ((a & mask) >> np.uint64(6)).astype(np.int64), a & np.uint64(63)
+                is_repeated, is_hot = ((b[at] >> bit) & np.uint64(1) == 1 for b in (bitmap, hot))
+                go = is_repeated & (is_hot == hot_only)
                 a, first, n = a[go], first[go], n[go]
                 ends = np.cumsum(count)
                 doc = np.searchsorted(ends, first, "right")
@@ -182,34 +182,54 @@ def _candidates(window: int, bits: int, shared, hot_only: bool):
     return run
 
 
-def deep_nodes(codes: np.ndarray, window: int) -> np.ndarray:
-    """The tree's node at the window's depth for each place: ranks of strings of doubled length."""
-    rank, done = codes.astype(np.uint64), 1
-    while done < window:
-        step = min(done, window - done)
-        pair = rank[: len(rank) - step] * np.uint64(len(codes) + 1) + rank[step:]
-        rank, done = np.unique(pair, return_inverse=True)[1].astype(np.uint64), done + step
-    return rank
+def depths(codes: np.ndarray) -> np.ndarray:
+    """Depth of the deepest inner node above each place's leaf in the tree of all suffixes: the longest string from there that also starts elsewhere.
+
+    Ranks of strings of 1, 2, 4, ... words order the suffixes; a leaf's deepest inner node is the longer of
+    the two prefixes it shares with its neighbours in that order.
+    """
+    n = len(codes)
+    levels = [np.unique(codes, return_inverse=True)[1].astype(np.uint64)]
+    while n and int(levels[-1].max()) < n - 1:
+        step = 1 << (len(levels) - 1)
+        pair = levels[-1] * np.uint64(n + 1)
+        pair[: max(0, n - step)] += levels[-1][step:] + np.uint64(1)
+        levels.append(np.unique(pair, return_inverse=True)[1].astype(np.uint64))
+    order = np.argsort(levels[-1])
+    left, right, shared = order[:-1].copy(), order[1:].copy(), np.zeros(max(0, n - 1), np.int64)
+    for k in reversed(range(len(levels))):
+        inside = np.maximum(left, right) < n
+        same = inside.copy()
+        same[inside] = levels[k][left[inside]] == levels[k][right[inside]]
+        step = same.astype(np.int64) << k
+        left, right, shared = left + step, right + step, shared + step
+    depth = np.zeros(n, np.int64)
+    depth[order[1:]] = shared
+    depth[order[:-1]] = np.maximum(depth[order[:-1]], shared)
+    return depth
 
 
 def _tree(keys: list, first: np.ndarray, segments: pa.Array, window: int) -> pa.RecordBatch:
+    """Maximal repeats of a subtree: inner nodes at the window's depth or deeper, without those that a longer repeat holds; overlapping ones merge."""
     words, count = split(segments)
-    rank = deep_nodes(words.indices.to_numpy(), window)
-    ends = np.cumsum(count)
-    number = count - window + 1
-    before = np.cumsum(number) - number
-    at = np.repeat(ends - count - before, number) + np.arange(number.sum())
-    node = rank[at]
-    leaves = np.bincount(node.astype(np.int64), minlength=1)
-    hit = np.flatnonzero(leaves[node.astype(np.int64)] > 1)
-    new = np.ones(len(hit), bool)
-    new[1:] = np.diff(at[hit]) != 1
-    lo = np.flatnonzero(new)
-    n = np.diff(np.append(lo, len(hit)))
-    place = at[hit[lo]] if len(hit) else np.zeros(0, np.int64)
-    seg = np.searchsorted(ends, place, "right")
-    start = first[seg] + place - (ends - count)[seg]
-    return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in seg.tolist()], pa.binary()), pa.array(start), pa.array(start + n + window - 1)], ["key", "lo", "hi"])
+    starts = np.cumsum(count + 1) - count - 1
+    codes = np.empty(int(count.sum()) + len(count), np.int64)
+    is_end = np.zeros(len(codes), bool)
+    is_end[starts + count] = True
+    codes[~is_end] = words.indices.to_numpy()
+    codes[is_end] = len(words.dictionary) + np.arange(len(count))  # no string goes past a segment
+    depth = depths(codes)
+    deep = depth >= window
+    deep[1:] &= depth[:-1] != depth[1:] + 1
+    lo = np.flatnonzero(deep)
+    hi = np.maximum.accumulate(lo + depth[lo])
+    new = np.ones(len(lo), bool)
+    new[1:] = lo[1:] > hi[:-1]
+    hi = hi[np.append(np.flatnonzero(new)[1:] - 1, len(lo) - 1)] if len(lo) else hi
+    lo = lo[new]
+    seg = np.searchsorted(starts, lo, "right") - 1
+    by = first[seg] - starts[seg]
+    return pa.RecordBatch.from_arrays([pa.array([keys[i] for i in seg.tolist()], pa.binary()), pa.array(lo + by), pa.array(hi + by)], ["key", "lo", "hi"])
 
 
 def _trees(window: int):
@@ -267,14 +287,12 @@ def ranges(docs: DataFrame, text: str = "text", window: int = WINDOW, group_runs
     t = docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     counts = t.mapInArrow(_prefixes(window), "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n")).where("n > 1")
     counts = checkpointed(counts)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    most = max(group_runs, total // HOT_SHARE)  # so at most HOT_SHARE prefixes are longer ones
-    hot = counts.where(F.col("n") > most).select("prefix").toArrow().column("prefix").to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast((set_bits(counts, bits), np.sort(hot)))
+    hot = set_bits(counts.where(F.col("n") > group_runs), bits)
+    shared = docs.sparkSession.sparkContext.broadcast((set_bits(counts, bits), hot))
     keyed = t.select(text_key(F.col("t")).alias("key"), "t")
     cold = keyed.mapInArrow(_candidates(window, bits, shared, False), "prefix long, key binary, first long, segment string")
     found = cold.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees(window), "key binary, lo long, hi long")
-    if len(hot):
+    if hot.any():
         found = found.union(_counted(keyed.mapInArrow(_candidates(window, bits, shared, True), "run binary, key binary, first long, h1 array<long>, h2 array<long>"), window))
     return found
 

@@ -56,9 +56,9 @@ def test_columns_and_empty(spark):
     assert substring.dedup(df.limit(0)).collect() == []
 
 
-def test_ranks_name_equal_strings():
-    codes = np.random.default_rng(0).integers(0, 2, 300)
-    rank = substring.deep_nodes(codes, 7)
-    for i in range(0, 290, 7):
-        for j in range(290):
-            assert (rank[i] == rank[j]) == (codes[i : i + 7] == codes[j : j + 7]).all()
+def test_inner_nodes():
+    rng = np.random.default_rng(0)
+    for n, kinds in ((0, 1), (1, 1), (2, 1), (40, 1), (120, 2), (200, 5)):
+        codes = rng.integers(0, kinds, n)
+        shared = lambda i, j: next((k for k in range(n) if max(i, j) + k >= n or codes[i + k] != codes[j + k]), 0)  # noqa: E731, B023
+        assert substring.depths(codes).tolist() == [max((shared(i, j) for j in range(n) if i != j), default=0) for i in range(n)]
