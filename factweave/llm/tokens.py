@@ -30,6 +30,10 @@ _UNSAFE = f"{_WIDE} ({_WIDE}|$)|\\x00"
 _MARKS = "[.,;:!?]+"
 #: A piece of Latin letters that composition leaves alone and whose lower case is one letter each.
 _LETTERS = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
+#: A single line break after a word or mark and before a letter is a pre-token of its own, so the letter starts a piece.
+_BREAK = r"([\pL\pN.,;:!?])\n(\pL)"
+#: Between pieces of letters that are encoded in one call: no such piece can give its id.
+STOP = "."
 #: How byte-level tokenizers write bytes as characters: printable ones stay, the others follow from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_FORMS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _PLAIN)}
@@ -49,8 +53,11 @@ class Encoder:
         self.bare = None
         if self.cut != "none":
             spec = json.loads(self.tokenizer.to_str())
-            spec |= {"normalizer": None, "pre_tokenizer": None, "added_tokens": [], "post_processor": None}
-            self.bare = Tokenizer.from_str(json.dumps(spec))
+            spec |= {"normalizer": None, "pre_tokenizer": {"type": "Split", "pattern": {"String": STOP}, "behavior": "Isolated", "invert": False}, "added_tokens": [], "post_processor": None}
+            bare = Tokenizer.from_str(json.dumps(spec))
+            stop = bare.encode(STOP, add_special_tokens=False).ids
+            if len(stop) == 1 and STOP in bare.id_to_token(stop[0]):
+                self.bare, self.stop = bare, stop[0]
 
     def _cut(self) -> str:
         spec = json.loads(self.tokenizer.to_str())
@@ -75,6 +82,7 @@ class Encoder:
             return flat.dictionary, flat.indices.to_numpy(), pc.list_value_length(split).to_numpy().astype(np.int64)
         whole = pc.match_substring_regex(texts, _UNSAFE)
         apart = pc.replace_substring_regex(pc.replace_substring(pc.if_else(whole, "", texts), " ", "\0 "), rf"(\pL)({_MARKS})([\x00\s]|$)", "\\1\0\\2\\3")
+        apart = pc.replace_substring_regex(apart, _BREAK, "\\1\n\0\\2")
         split = pc.split_pattern(apart, "\0")
         flat, count = split.flatten().dictionary_encode(), pc.list_value_length(split).to_numpy().astype(np.int64)
         codes, full = flat.indices.to_numpy().astype(np.int64), whole.to_numpy(zero_copy_only=False)
@@ -83,18 +91,20 @@ class Encoder:
         return pa.concat_arrays([flat.dictionary, kept]), codes, count
 
     def _encoded(self, pieces: pa.Array) -> dict[str, bytes]:
-        """Pieces of plain letters go to a tokenizer without normalizer and pre-tokenizer, in the form that those would give them; other pieces go to the full one."""
+        """Pieces of plain letters go to a tokenizer without normalizer and pre-tokenizer, in the form that those would give them and many in one call; other pieces go to the full one."""
         made: dict[str, bytes] = {}
         simple = pc.match_substring_regex(pieces, _LETTERS) if self.bare else pa.array(np.zeros(len(pieces), bool))
-        for tokenizer, own in ((self.bare, pieces.filter(simple)), (self.tokenizer, pieces.filter(pc.invert(simple)))):
-            for at in range(0, len(own), 20_000):
-                part = own.slice(at, 20_000).to_pylist()
-                form = part
-                if tokenizer is self.bare:
-                    form = "\n".join(part)
-                    form = (form if self.cut == "space" else form.lower()).encode().decode("latin-1").translate(BYTE_FORMS).split(chr(BYTE_FORMS[10]))
-                for p, e in zip(part, tokenizer.encode_batch_fast(form, add_special_tokens=False), strict=True):
-                    made[p] = array("I", e.ids).tobytes()
+        own, rest = pieces.filter(simple), pieces.filter(pc.invert(simple))
+        for at in range(0, len(own), 20_000):
+            part = own.slice(at, 20_000).to_pylist()
+            form = STOP.join(part)
+            form = (form if self.cut == "space" else form.lower()).encode().decode("latin-1").translate(BYTE_FORMS)
+            ids = np.array(self.bare.encode_batch_fast([form], add_special_tokens=False)[0].ids, "<u4")
+            raw, ends = ids.tobytes(), (np.flatnonzero(ids == self.stop) * 4).tolist()
+            made.update(zip(part, (raw[i:j] for i, j in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)), strict=True))
+        for at in range(0, len(rest), 20_000):
+            part = rest.slice(at, 20_000).to_pylist()
+            made.update(zip(part, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
         return made
 
     def _ids(self, pieces: pa.Array) -> list[bytes]:
