@@ -34,7 +34,7 @@ from factweave.functions.session import shared_dir
 from factweave.llm.common import load
 from factweave.llm.tokens import encoder, ids_binary, public, slices
 
-END_ID, VOCABULARY, READ_IDS = 2, "byte_bpe_50k.json", 1 << 21
+END_ID, VOCABULARY, READ_IDS, ENCODE_BYTES = 2, "byte_bpe_50k.json", 1 << 21, 8 << 20
 MANIFEST = "part long, stem string, width int, n_docs long, n_tokens long, doc_base long, token_base long"
 
 
@@ -51,7 +51,7 @@ def _write(out: str, tokenizer: str, end_id: int):
         n_docs = n_tokens = 0
         opened = None
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, ENCODE_BYTES):
                 if opened is None:
                     opened = store.open_output_stream(f"{stem}.bin"), store.open_output_stream(f"{stem}.idx"), store.open_output_stream(f"{stem}.doc")
                     names = pa.ipc.new_file(opened[2], pa.schema([pa.field("doc_id", batch.schema.field(0).type)]))

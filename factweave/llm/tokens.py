@@ -115,7 +115,7 @@ class Encoder:
             return out
         made = self._encoded(pieces.filter(pa.array(new)))
         if len(self.cache) + len(made) > CACHE_PIECES:
-            self.cache.clear()
+            self.cache = {p: x for p, x in zip(own, out, strict=True) if x is not None}  # what this slice uses stays
         if len(made) <= CACHE_PIECES:
             self.cache.update(made if max(map(len, made)) <= CACHED_CHARS else {p: x for p, x in made.items() if len(p) <= CACHED_CHARS})
         return [made[p] if x is None else x for p, x in zip(own, out, strict=True)]
