@@ -22,6 +22,9 @@ KINDS = {**dict.fromkeys("+ - * / %".split(), "arithmetic"), **dict.fromkeys("&&
 SIMPLE = frozenset("lit path field call method tuple struct ref unary index cast".split())
 STUBS = frozenset("todo unimplemented panic".split())
 DEEP = 3
+#: Macros whose first argument may be a format, and calls that give an empty value.
+FORMATS = frozenset("format println eprintln print write writeln".split())
+EMPTY_CALLS = frozenset("Default::default String::new Vec::new HashMap::new HashSet::new BTreeMap::new BTreeSet::new".split())
 
 
 def number(text: str) -> str:
@@ -405,6 +408,62 @@ def _changes(x: Node) -> bool:
     return x.kind == "ref" and bool(x.mut) and _self_place(x.kids[0])
 
 
+def _empty_value(e: Node) -> bool:
+    """Zero, false, an empty text or collection, None or a default."""
+    if e.kind == "lit":
+        return e.text in ("false", '""') or e.lit == "num" and float(number(e.text)) == 0
+    if e.kind == "path":
+        return e.path[-1] == "None"
+    if e.kind == "call":
+        return e.kids[0].kind == "path" and "::".join(e.kids[0].path) in EMPTY_CALLS
+    return e.kind == "macro" and e.name == "vec" and not e.words
+
+
+def _sets_field(s: Node) -> bool:
+    return s.kind == "expr" and s.semi and s.kids[0].kind == "assign" and _self_field(s.kids[0].kids[0])
+
+
+def shapes(block: Node) -> list[str]:
+    """Names of the plain forms that a body has."""
+    out, stmts = [], block.kids
+    if len(stmts) == 1 and stmts[0].kind == "expr" and not stmts[0].semi:
+        e = stmts[0].kids[0]
+        out.append("one_value")
+        if e.kind == "call" and all(a.kind == "path" for a in e.kids[1:]) or e.kind == "struct" and not e.base and all(x.kind == "path" for x in e.kids):
+            out.append("wraps")
+        if e.kind == "macro" and e.name in ("write", "writeln"):
+            out.append("writes")
+        if _self_field(e) or e.kind == "ref" and _self_field(e.kids[0]):
+            out.append("reads_field")
+        if e.kind == "struct" and not e.base and e.kids and all(map(_empty_value, e.kids)):
+            out.append("defaults")
+    if len(stmts) == 1 and _sets_field(stmts[0]):
+        out.append("sets_field")
+    if len(stmts) == 2 and _sets_field(stmts[0]) and stmts[1].kind == "expr" and not stmts[1].semi and is_self(stmts[1].kids[0]):
+        out.append("sets_and_returns")
+    return out
+
+
+def _values(block: Node) -> list[Node]:
+    """Expressions and initial values of a body's own statements."""
+    return [s.kids[0] if s.kind == "expr" else s.kids[1] for s in block.kids if s.kind == "expr" or s.kind == "let" and s.init]
+
+
+def _maps_variants(m: Node) -> bool:
+    arms = m.kids[1:]
+    plain = lambda p: p.kind == "p_path" or p.kind == "p_call" and all(x.kind == "p_wild" for x in p.kids) or p.kind == "p_struct" and not p.names
+    return m.kids[0].kind != "tuple" and all(not a.guard and plain(a.kids[0]) and a.kids[-1].kind in ("path", "call") for a in arms)
+
+
+def _clones(e: Node) -> int:
+    return sum(x.kind == "method" and x.name == "clone" and len(x.kids) == 1 for x in e.kids[: len(e.names)]) if e.kind == "struct" else 0
+
+
+def _matched(m: Node) -> dict:
+    owners = [a.kids[0].path[-2] for a in m.kids[1:] if a.kids[0].kind in ("p_path", "p_call", "p_struct") and len(a.kids[0].path) > 1]
+    return {"line": m.line, "arms": len(m.kids) - 1, "enum": owners[0] if owners else "(unknown)", "tokens": tokens_of([Node("expr", m.line, [m], semi=False)])}
+
+
 def row(toks: list[Token], open_: int, name: str, parent: str | None, parameters: dict[str, str], window: int = 3) -> dict:
     """The facts of the body whose brace opens at a place."""
     block = body(toks, open_)
@@ -437,6 +496,10 @@ def row(toks: list[Token], open_: int, name: str, parent: str | None, parameters
         "self_seen": any(is_self(x) for x in plain), "self_changed": any(_changes(x) for x in plain),
         "fields": sorted({x.name for x in every if _self_field(x) and not x.name.isdigit()}), "self_calls": sorted({x.name for x in methods if is_self(x.kids[0])}),
         "fan": sorted({"::".join(p) for p in called} | {x.name for x in methods if not is_self(x.kids[0])}),
+        "shapes": shapes(block), "mapped_arms": [len(v.kids) - 1 for v in _values(block) if v.kind == "match" and _maps_variants(v)], "clones": [n for n in map(_clones, _values(block)) if n],
+        "built": [{"type": "::".join(x.path), "fields": x.names} for x in plain if x.kind == "struct" and not x.base],
+        "formats": [{"line": x.line, "value": x.first} for x in plain if x.kind == "macro" and x.name in FORMATS and x.first.startswith('"')],
+        "matches": [_matched(x) for x in plain if x.kind == "match" and len(x.kids) > 3],
         "downcasts": [x.at for x in plain if x.kind == "method" and x.name in ("downcast", "downcast_ref", "downcast_mut")],
     }
 
@@ -446,5 +509,5 @@ BODY = (
     "statements bigint, body_lines bigint, logic array<struct<kind:string,line:bigint>>, calls array<struct<form:string,name:string,receiver:string,line:bigint>>, "
     f"deep array<struct<line:bigint,depth:bigint,construct:string>>, numbers {PLACE}, max_nesting bigint, cognitive bigint, n_unsafe bigint, n_unwrap bigint, n_expect bigint, n_panic bigint, n_todo bigint, cyclomatic bigint, "
     f"tokens {LIST}, windows array<struct<at:bigint,line:bigint,end_line:bigint,tokens:{LIST}>>, targets {LIST}, called {LIST}, refs {LIST}, type_refs {LIST}, asserts boolean, macros {LIST}, any_call boolean, accessor boolean, "
-    f"stub boolean, broken boolean, self_used boolean, self_seen boolean, self_changed boolean, fields {LIST}, self_calls {LIST}, fan {LIST}, downcasts array<bigint>"
+    f"stub boolean, broken boolean, self_used boolean, self_seen boolean, self_changed boolean, fields {LIST}, self_calls {LIST}, fan {LIST}, shapes {LIST}, mapped_arms array<bigint>, clones array<bigint>, built array<struct<type:string,fields:{LIST}>>, formats {PLACE}, matches array<struct<line:bigint,arms:bigint,enum:string,tokens:{LIST}>>, downcasts array<bigint>"
 )

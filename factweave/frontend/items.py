@@ -86,8 +86,8 @@ def _parameters(toks: list[Token], open_: int, close: int) -> tuple[int, str, di
     return len(parts) - bool(me), me, types
 
 
-def _result(toks: list[Token], at: int, stop: int) -> tuple[bool, str | None]:
-    """Of a return type: whether it is Self, plain or in one pair of angle brackets, and the error type of a Result."""
+def _result(toks: list[Token], at: int, stop: int) -> tuple[bool, bool, str | None]:
+    """Of a return type: whether it is plain Self, whether it is Self, plain or in one pair of angle brackets, and the error type of a Result."""
     words = []
     while at < stop and toks[at].text not in ("where", "{", ";"):
         words.append(toks[at])
@@ -98,16 +98,16 @@ def _result(toks: list[Token], at: int, stop: int) -> tuple[bool, str | None]:
     error = inner[1] if len(inner) > 1 and re.match(r"(?:\w+::)*Result<", text) else None
     if error:
         error = re.sub(r"^(std|core)::", "", error)
-    return plain or any(re.fullmatch(r"(?:\w+::)*Self", x) for x in inner) and not text.startswith("&"), error
+    return plain, plain or any(re.fullmatch(r"(?:\w+::)*Self", x) for x in inner) and not text.startswith("&"), error
 
 
 def items(path: str, source: str) -> Iterator[tuple[str, dict]]:
     """(kind of fact, row) of a file."""
     toks = tokens(source)
     yield "source", {"file": path, "production_lines": production_lines(source)}
-    todo = [(0, len(toks), [], False, None, "", None)]
+    todo = [(0, len(toks), [], False, None, "", None, (None, None))]
     while todo:
-        i, end, mods, test, parent, owner, trait = todo.pop()
+        i, end, mods, test, parent, owner, trait, within = todo.pop()
         while i < end:
             attrs, public = [], ""
             while i < end and toks[i].text == "#":
@@ -141,7 +141,7 @@ def items(path: str, source: str) -> Iterator[tuple[str, dict]]:
                 yield "module", {"file": path, "module": [*mods, name], "inline": inline, "in_test": own_test, "line": toks[i].line}
                 if inline:
                     close = closing(toks, i + 2)
-                    todo.append((i + 3, close, [*mods, name], own_test, None, "", None))
+                    todo.append((i + 3, close, [*mods, name], own_test, None, "", None, (None, None)))
                     i = close + 1
                 else:
                     i += 3
@@ -157,7 +157,7 @@ def items(path: str, source: str) -> Iterator[tuple[str, dict]]:
                     yield "type", {"file": path, "name": kind, "kind": "trait", "line": toks[i + 1].line, "public": public, "fields": [], "methods": inside, "module": mods, "in_test": own_test}
                 else:
                     yield "impl", {"file": path, "type_name": kind, "trait_name": of, "line": toks[i].line, "module": mods, "in_test": own_test}
-                todo.append((body + 1, close, mods, own_test, kind, word, of))
+                todo.append((body + 1, close, mods, own_test, kind, word, of, (i, _type_line(head, toks[i].line))))
                 i = close + 1
             elif word in ("struct", "enum", "union") and i + 1 < end and toks[i + 1].kind == "id":
                 name, line = toks[i + 1].text, toks[i + 1].line
@@ -182,12 +182,12 @@ def items(path: str, source: str) -> Iterator[tuple[str, dict]]:
                 count, me, types = _parameters(toks, open_, close)
                 body = next((j for j in range(close, end) if toks[j].text in ("{", ";")), end - 1)
                 last = closing(toks, body) if toks[body].text == "{" else body
-                gives_self, error = _result(toks, close + 2, body) if toks[close + 1].text == "->" else (False, None)
+                own_self, gives_self, error = _result(toks, close + 2, body) if toks[close + 1].text == "->" else (False, False, None)
                 has_body = toks[body].text == "{"
                 yield "function", {
                     "file": path, "name": name, "parent_type": parent, "line": toks[i + 1].line, "body_line": toks[body].line, "end_line": toks[last].line, "parameter_count": count, "has_self": bool(me),
                     "public": public, "is_test": own_test or "test" in attrs, "is_trait_impl": owner == "impl" and trait is not None, "has_body": has_body, "allow_dead": any("allow(dead_code" in a for a in attrs),
-                    "owner": owner, "trait_name": trait, "module": mods, "in_test": test, "test_attr": "test" in attrs, "should_panic": any(a.startswith("should_panic") for a in attrs), "mut_self": me == "&mutself", "gives_self": gives_self, "error_type": error,
+                    "owner": owner, "trait_name": trait, "module": mods, "in_test": test, "test_attr": "test" in attrs, "should_panic": any(a.startswith("should_panic") for a in attrs), "mut_self": me == "&mutself", "gives_self": gives_self, "result_self": own_self, "block": within[0], "block_line": within[1], "error_type": error,
                     "body": bodies.row(toks, body, name, parent, types) if has_body else None,
                 }
                 i = last + 1
@@ -261,6 +261,13 @@ def _flat(head: list[Token]) -> list[Token]:
     return out
 
 
+def _type_line(head: list[Token], line: int) -> int:
+    """Where the type of an impl is written."""
+    flat = _flat(head)
+    at = next((k + 1 for k, t in enumerate(flat) if t.text == "for"), 0)
+    return flat[at].line if at < len(flat) else line
+
+
 def _type_name(head: list[Token], word: str) -> str | None:
     flat = _flat(head)
     if word == "trait":
@@ -276,7 +283,7 @@ IMPORTS = "file string, segments array<string>, kind string, public string, modu
 MODULES = "file string, module array<string>, inline boolean, in_test boolean, line long"
 FUNCTIONS = (
     "file string, name string, parent_type string, line long, body_line long, end_line long, parameter_count long, has_self boolean, public string, is_test boolean, is_trait_impl boolean, has_body boolean, allow_dead boolean, "
-    "owner string, trait_name string, module array<string>, in_test boolean, test_attr boolean, should_panic boolean, mut_self boolean, gives_self boolean, error_type string, body struct<" + re.sub(r"(^|, )(\w+) ", r"\1\2:", bodies.BODY) + ">"
+    "owner string, trait_name string, module array<string>, in_test boolean, test_attr boolean, should_panic boolean, mut_self boolean, gives_self boolean, result_self boolean, block long, block_line long, error_type string, body struct<" + re.sub(r"(^|, )(\w+) ", r"\1\2:", bodies.BODY) + ">"
 )
 TYPES = "file string, name string, kind string, line long, public string, fields array<string>, methods long, module array<string>, in_test boolean"
 IMPLS = "file string, type_name string, trait_name string, line long, module array<string>, in_test boolean"

@@ -522,12 +522,13 @@ class Parser:
             braces = self.text() == "{"
             first, (p, after) = self.at + 1, self.inner()
             words = " ".join(x.text for x in self.toks[first : p.end])
+            head = self.toks[first].text if first < p.end else ""
             try:
                 kids = p.listed()
             except (SourceError, RecursionError):
                 kids = None
             self.at = after
-            return Node("macro", line, [], name=path[-1], args=kids, braces=braces, words=words)
+            return Node("macro", line, [], name=path[-1], args=kids, braces=braces, words=words, first=head)
         if self.text() == "{" and struct and self.literal_follows(path):
             p, self.at = self.inner()
             names, kids, base = [], [], False

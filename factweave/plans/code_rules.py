@@ -74,7 +74,7 @@ def tables(files: DataFrame) -> dict[str, DataFrame]:
 
 def analyse(files: DataFrame, config=None, coverage: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """All findings for a table of sources (path, content), with markers applied. coverage: hits by function and by line."""
-    from factweave.plans import duplicates, functions, responsibility, structure, testing
+    from factweave.plans import boilerplate, duplicates, functions, responsibility, structure, testing
     from factweave.plans.config import Config
     from factweave.plans.findings import suppress
     from factweave.sources.markers import plain_markers, suppressions
@@ -92,6 +92,9 @@ def analyse(files: DataFrame, config=None, coverage: tuple[DataFrame, DataFrame]
         found += [duplicates.duplicates(f, config), duplicates.fragments(f, config)]
         found += [wildcards(imports)] if config.duplicates.detect_wildcard_imports else []
         found += [duplicates.dead_code(f, imports, config)] if config.duplicates.detect_dead_code else []
+        found += [boilerplate.repeated_matches(f, config)] if config.duplicates.detect_repeated_matches else []
+    if config.boilerplate.enabled:
+        found.append(boilerplate.boilerplate(f, config))
     if config.srp.enabled:
         found += [responsibility.structs(f, t["type"], config), responsibility.modules(t["source"], f, classified, t["tests"], config), signatures(f, config.srp.max_parameters)]
     if config.structural.enabled:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.plans import architecture, code_rules, duplicates, functions, responsibility, structure, testing
+from factweave.plans import architecture, boilerplate, code_rules, duplicates, functions, responsibility, structure, testing
 from factweave.plans.findings import scores
 from factweave.sources.markers import plain_markers
 
@@ -115,6 +115,36 @@ fn p3() {_LETS}
 fn p4() {_LETS}
 fn ties() {{ p1(); p2(); }}
 """
+_MATCH = "match x { E::A => 1, E::B(_) => 2, E::C { .. } => 3 }"
+PATTERNS = f"""impl From<u8> for Wrap {{ fn from(v: u8) -> Self {{ Wrap(v) }} }}
+impl From<u16> for Wrap {{ fn from(v: u16) -> Self {{ Wrap {{ v }} }} }}
+impl From<u32> for Wrap {{ fn from(v: u32) -> Self {{ Wrap(v as u8) }} }}
+impl fmt::Display for Wrap {{ fn fmt(&self, f: &mut F) -> R {{ write!(f, "{{}}", self.0) }} }}
+impl Acc {{
+    fn a(&self) -> u8 {{ self.a }}
+    fn b(&self) -> &u8 {{ &self.b }}
+    fn set(&mut self, v: u8) {{ self.a = v; }}
+    fn other(&self) -> u8 {{ self.a + 1 }}
+}}
+impl Two {{ fn a(&self) -> u8 {{ self.a }} fn b(&self) -> u8 {{ self.b }} }}
+impl Build {{
+    fn a(mut self, v: u8) -> Self {{ self.a = v; self }}
+    fn b(mut self, v: u8) -> Self {{ self.b = v; self }}
+    fn c(mut self, v: u8) -> Self {{ self.c = v; self }}
+}}
+impl Default for Acc {{ fn default() -> Self {{ Acc {{ a: 0, b: None, c: String::new(), d: vec![], e: "" }} }} }}
+impl Default for Two {{ fn default() -> Self {{ Two {{ a: 1, b: 0 }} }} }}
+fn maps(x: E) -> F {{ match x {{ E::A => F::A, E::B => F::B, E::C(_) => f(), E::D {{ .. }} => F::D }} }}
+fn fmt(x: E) -> F {{ match x {{ E::A => F::A, E::B => F::B, E::C => F::C, E::D => F::D }} }}
+fn clones(o: &O) -> P {{ P {{ a: o.a.clone(), b: o.b.clone(), c: o.c.clone() }} }}
+fn twice() {{ let p = Q {{ a: 1, b: 2, c: 3 }}; let q = Q {{ a: 1, b: 2, d: 4 }}; }}
+fn prints() {{ println!("same {{}}", 1); println!("same {{}}", 2); println!("{{}}", 3); println!("{{}}", 4); println!("{{}}", 5); }}
+fn more() {{ eprintln!("same {{}}", 3); }}
+fn m1(x: E) -> u8 {{ {_MATCH} }}
+fn m2(y: E) -> u8 {{ {_MATCH.replace("x", "y")} }}
+fn m3(z: E) -> u8 {{ let r = {_MATCH.replace("x", "z")}; r }}
+fn m4(x: E) -> u8 {{ match x {{ E::A => 1, _ => 2 }} }}
+"""
 LAYERED = [
     ("src/domain/x.rs", "use crate::app::run;\nuse serde::Value;\nuse std::fmt;"), ("src/app/mod.rs", "use crate::domain::x::X;"), ("src/domain/mod.rs", "mod x;"),
     ("src/cli/a.rs", "use crate::db::raw::Q;\nuse crate::db::api::Z;\nuse super::super::db::raw::W;\nuse crate::app::*;"), ("src/db/raw.rs", ""), ("src/db/api.rs", ""),
@@ -154,6 +184,14 @@ def _marked(files, t):
     return duplicates.with_markers(t["function"], plain_markers(files, "api"), plain_markers(files, "test_helper"))
 
 
+def r_boilerplate(spark, sf):
+    return _places(boilerplate.boilerplate(code_rules.tables(_files(spark, PATTERNS))["function"]))
+
+
+def r_repeated_matches(spark, sf):
+    return _places(boilerplate.repeated_matches(code_rules.tables(_files(spark, PATTERNS))["function"]))
+
+
 def r_dead_code(spark, sf):
     files = _files(spark, DEAD)
     t = code_rules.tables(files)
@@ -250,6 +288,8 @@ SQL = {
     "r_complexity": _found(("CX-001", 1), ("CX-005", 1), ("CX-003", 2), ("CX-003", 6), ("CX-006", 1), ("A20", 1)),
     "r_duplicates": _found(("DRY-001", 1), ("DRY-001", 9), ("DRY-001", 17), ("DRY-001", 25)),
     "r_fragments": _found(("DRY-003", 34), ("DRY-003", 42)),
+    "r_boilerplate": _found(("BP-001", 1), ("BP-001", 2), ("BP-007", 1), ("BP-002", 4), ("BP-003", 6), ("BP-003", 7), ("BP-003", 8), ("BP-004", 12), ("BP-005", 17), ("BP-006", 19), ("BP-008", 21), ("BP-009", 22), ("BP-010", 23)),
+    "r_repeated_matches": _found(("DRY-005", 25), ("DRY-005", 26), ("DRY-005", 27)),
     "r_dead_code": _values("name, line, why", [("never", 4, "uncalled"), ("only_tests", 5, "test_only")]),
     "r_structural": _found(("SLM", 3), ("NMS", 4), ("BTC", 10), ("BTC", 12), ("DEH", 7), ("SIT", 9), ("IET", 1), ("OI", 1, "src/b/mod.rs")),
     "r_tests": _found(("TQ-001", 8), ("TQ-002", 8), ("TQ-002", 10), ("TQ-002", 15), ("TQ-003", 3)),
