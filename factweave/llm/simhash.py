@@ -190,6 +190,11 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows sorted by keys, those of equal keys in one task. They are dealt by a hash of the keys: an exchange by the keys themselves would be dropped behind a join by them, whose own may then be read locally (map output by map output), which tears shards apart."""
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys)
+
+
 def links(fps: DataFrame, fp: str = "fingerprint", radius: int = RADIUS, shard_rows: int = SHARD_ROWS, tree: int = TREE) -> DataFrame:
     """Stars (a, b) that connect distinct fingerprints exactly as all pairs within the radius would."""
     left = checkpointed(fps.select(F.col(fp).alias("fp")).distinct())
@@ -204,7 +209,7 @@ def links(fps: DataFrame, fp: str = "fingerprint", radius: int = RADIUS, shard_r
         else:
             more = False
         cold = keyed.join(size.where(F.col("n") <= shard_rows) if more else size, ["part", "bits"], "left_semi")
-        shards = cold.repartition("part", "bits").sortWithinPartitions("part", "bits").select("part", "bits", "fp")
+        shards = dealt(cold, "part", "bits").select("part", "bits", "fp")
         got = shards.mapInArrow(_search(radius), "a long, b long")
         found = got if found is None else found.union(got)
         if not more:

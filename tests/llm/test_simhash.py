@@ -93,6 +93,23 @@ def test_hot_shards_go_to_deeper_levels(spark):
         assert got == list(want), limit
 
 
+def test_shards_stay_whole_when_a_join_turns_into_a_broadcast(spark):
+    """Planned as a sort-merge join, run as a broadcast join with local reads, as on larger tables."""
+    rng = np.random.default_rng(4)
+    fps = rng.integers(-(1 << 63), 1 << 63, 600, dtype=np.int64)
+    fps = np.unique(np.concatenate([fps, fps ^ (np.int64(1) << rng.integers(0, 63, 600)), fps ^ (np.int64(5) << rng.integers(0, 60, 600))]))
+    want = simhash.classes(fps.view(np.uint64))
+    from factweave.operators.graph import components
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else a small table is one partition
+    try:
+        df = spark.createDataFrame([(int(f),) for f in fps], "fingerprint long")
+        named = {r.node: r.component for r in components(simhash.links(df, tree=64)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [named.get(int(f), int(f)) for f in fps] == [int(fps[k]) for k in want]
+
+
 def test_empty_table(spark):
     assert simhash.components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
