@@ -4,8 +4,8 @@ Base spans are e-mail addresses, IP addresses, card numbers (Luhn) and phone num
 built-in functions: a text splits at the matches, and running sums of piece and match lengths are
 the spans (code points, end exclusive).
 
-Terms: every distinct base value is a protected entity e, and its context the `near` words before and after it, up to
-the next value of its pattern. Over all documents, N of them, with D(x) the number that hold x and D(t, e)
+Terms: every distinct base value is a protected entity e, and its context the whole document (near=None, as the query and
+the pipeline have it) or the `near` words before and after it, up to the next value of its pattern. Over all documents, N of them, with D(x) the number that hold x and D(t, e)
 the number with t in a context of e, IC(e) = log2(N / D(e)) is what e is worth and PMI(t, e) =
 log2(N * P(e | t) / D(e)) what a term t tells of it, where P(e | t) = (D(t, e) + prior * D(e) / N) / (D(t) + prior):
 the share of t's documents that name e, drawn by `prior` documents towards what chance would give. Where a term was
@@ -15,8 +15,8 @@ term) wherever it stands in the documents that name the entity in its context.
 Personal values hardly recur, so the query and the pipeline take WHOLE: one joint text is enough, words of
 any length count, and a prior of one document keeps few sightings from counting as certainty. Without a
 prior, a support of several texts is the guard instead; entities of fewer texts then disclose nothing.
-Contexts instead of whole documents keep rare words that merely share a long document with a value, and make
-pairs linear in the values: no document's entities meet all its terms.
+Contexts of some words keep rare words that merely share a long document with a value, and lose terms that disclose
+it from further away.
 
 Only documents with base spans go through joins; all others pass in a narrow projection. Document counts of terms
 are taken over the whole corpus, partially aggregated before the shuffle; pairs of equal figures are
@@ -56,6 +56,8 @@ MIN_JOINT, DISCLOSURE, MIN_LETTERS, NEAR = 5, 0.8, 4, 10
 SALTS, PIECE = 16, 4096
 #: What the query and the pipeline estimate with: rare values and short names count.
 WHOLE = {"min_joint": 1, "letters": 1, "prior": 1.0}
+#: The same over whole documents: a term may stand anywhere in a document with the value.
+EVERYWHERE = {**WHOLE, "near": None}
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -146,6 +148,39 @@ def disclosing(docs: DataFrame, held: DataFrame, text: str = "text", min_joint:
     return checkpointed(pairs.join(told, "pair", "left_semi").groupBy("key").agg(F.collect_set(F.substring_index("pair", "\n", -1)).alias("terms")))
 
 
+def disclosing_whole(docs: DataFrame, held: DataFrame, text: str = "text", min_joint: int = MIN_JOINT, disclosure: float = DISCLOSURE, letters: int = MIN_LETTERS, prior: float = 0.0) -> DataFrame:
+    """key, terms as disclosing() gives them, with the whole document outside its addresses as the context of each of its entities.
+
+    Entities of the same texts have the same figures with every term, so they count as one class (a 128-bit hash of the set of
+    texts). Classes of a single text need no pairs: every term of it has D(t, e) = D(e). The others meet those terms of their
+    texts that could pass at best, with D(t, e) = min(D(t), D(e)); that leaves out none that passes."""
+    n = F.lit(float(docs.count()))
+    many = held.groupBy("key").agg(F.count("*").cast("double").alias("m"))
+    named = F.array_distinct(F.concat(*(_each(k, lambda x, k: F.concat(F.lit(f"{k}:"), F.lower(x["value"]))) for k in PATTERNS)))
+    bare = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
+    bare = F.when(F.size("email") > 0, F.regexp_replace(bare, PATTERNS["email"], "_")).otherwise(bare)
+    ents = checkpointed(held.select("key", F.explode(named).alias("entity")).distinct().join(many, "key"))
+    a, b = (F.bit_xor(F.xxhash64("key", F.lit(k))) for k in (1, 2))
+    of = ents.groupBy("entity").agg(F.struct(a.alias("a"), b.alias("b"), F.count("*").alias("texts"), F.sum("m").alias("d_e")).alias("c"))
+    classed = checkpointed(ents.select("key", "entity").join(of, "entity").select("key", "c").distinct())
+    every = docs.select(F.explode(F.array_distinct(words(F.coalesce(F.col(f"`{text}`"), F.lit("")), letters))).alias("term")).groupBy("term").agg(F.count("*").alias("d_t"))
+    terms = held.select("key", F.explode(F.array_distinct(words(bare, letters))).alias("term")).distinct().join(many, "key")
+    terms = checkpointed(terms.join(every, "term"))
+
+    def told(d_te: Column, d_e: Column) -> Column:
+        pmi = F.log2(n / d_e * (d_te + prior * d_e / n) / (F.col("d_t") + prior))
+        return (pmi >= disclosure * F.log2(n / d_e)) & (pmi > 0)
+
+    one = classed.where("c.texts = 1").select("key").distinct()
+    here = terms.where(told(F.col("m"), F.col("m"))).join(one, "key", "left_semi").select("key", "term")
+    here = here if min_joint <= 1 else here.limit(0)
+    best = F.least(F.col("d_t").cast("double"), F.col("c.d_e"))
+    pairs = checkpointed(classed.where((F.col("c.texts") > 1) & (F.col("c.texts") >= min_joint)).join(terms, "key").where(told(best, F.col("c.d_e"))).select("key", "c", "term", "d_t", "m"))
+    sums = pairs.groupBy("c", "term", "d_t").agg(F.sum("m").alias("d_te"), F.count("*").alias("joint")).where(F.col("joint") >= min_joint)
+    shared = pairs.join(sums.where(told(F.col("d_te"), F.col("c.d_e"))).select("c", "term"), ["c", "term"], "left_semi").select("key", "term")
+    return checkpointed(here.union(shared).groupBy("key").agg(F.collect_set("term").alias("terms")))
+
+
 def _alternatives(terms: Column) -> Column:
     """A pattern that matches any of the terms as a whole word in any case; terms share a group by their first letter."""
     first = F.array_distinct(F.transform(terms, lambda w: F.substring(w, 1, 1)))
@@ -153,12 +188,12 @@ def _alternatives(terms: Column) -> Column:
     return F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(groups, "|"), F.lit(r")(?!\p{L})"))
 
 
-def scan(docs: DataFrame, text: str = "text", min_joint: int = MIN_JOINT, disclosure: float = DISCLOSURE, letters: int = MIN_LETTERS, prior: float = 0.0, near: int = NEAR) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", min_joint: int = MIN_JOINT, disclosure: float = DISCLOSURE, letters: int = MIN_LETTERS, prior: float = 0.0, near: int | None = NEAR) -> DataFrame:
     """row (struct of docs' columns), t (the text, null as empty) and an array of spans (start, end, value) for each of KINDS."""
     t = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
-    based = _based(docs, text, near, letters)
+    based = _based(docs, text, near or 0, letters)
     held = checkpointed(based.where(HOLDS).select(text_key(F.col("t")).alias("key"), "row", *PATTERNS))
-    found = disclosing(docs, held, text, min_joint, disclosure, letters, prior)
+    found = (disclosing_whole if near is None else disclosing)(docs, held, text, min_joint, disclosure, letters, prior)
     spans = [_each(k, lambda x, k: F.struct(x["start"], x["end"], x["value"])).cast(SPAN).alias(k) for k in PATTERNS]
     rows = held.select("key", "row", *spans, F.floor(F.rand(7) * SALTS).cast("int").alias("salt"))
     found = found.select("key", "terms", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -177,7 +212,7 @@ def listed(kinds: tuple[str, ...]) -> Column:
     return F.array_join(F.concat(*(_each(k, lambda x, k: F.concat(F.lit(f"{k}:"), x["start"], F.lit(":"), x["end"])) for k in kinds)), ",")
 
 
-def sanitise(docs: DataFrame, text: str = "text", min_joint: int = MIN_JOINT, disclosure: float = DISCLOSURE, letters: int = MIN_LETTERS, prior: float = 0.0, near: int = NEAR) -> DataFrame:
+def sanitise(docs: DataFrame, text: str = "text", min_joint: int = MIN_JOINT, disclosure: float = DISCLOSURE, letters: int = MIN_LETTERS, prior: float = 0.0, near: int | None = NEAR) -> DataFrame:
     """docs with each span generalised to its kind in brackets; the first of overlapping spans covers the others. Same columns; texts without spans stay."""
     s = scan(docs, text, min_joint, disclosure, letters, prior, near)
     every = F.concat(*(_each(k, lambda x, k: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("as"))) for k in KINDS))
@@ -191,6 +226,6 @@ def sanitise(docs: DataFrame, text: str = "text", min_joint: int = MIN_JOINT, di
 
 
 def query(spark, sf_dir):
-    s = scan(load(spark, sf_dir, "documents").select("doc_id", "text"), **WHOLE)
+    s = scan(load(spark, sf_dir, "documents").select("doc_id", "text"), **EVERYWHERE)
     n = lambda k: F.size(k).cast("long").alias(f"n_{k}")
     return s.select("row.doc_id", *(n(k) for k in PATTERNS), F.sha2(listed(tuple(PATTERNS)), 256).alias("base_sha256"), listed(KINDS).alias("spans"))

@@ -159,3 +159,37 @@ def test_many_values_in_a_long_text_take_linear_time(spark):
     out = {r.doc_id: r.text for r in pii.sanitise(df, **pii.WHOLE).collect()}
     took = time.time() - began
     assert "@" not in out[1] and out[1].count("[EMAIL]") == n // 4 and out[2] == "short" and took < 90, took
+
+
+def brute_whole(rows, min_joint=1, c=0.8, letters=1, prior=1.0):
+    """Terms of each text, every document as a whole the context of its values."""
+    every = [t or "" for _, t in rows]
+    terms = {t: set(re.findall(rf"[^\W\d_]{{{letters},}}", t.lower())) for t in every}
+    own = {t: set(re.findall(rf"[^\W\d_]{{{letters},}}", re.sub(RAW["email"], "_", t).lower())) for t in every}
+    ents = {t: {(k, m[0].lower()) for k, p in RAW.items() for m in re.finditer(p, t) if valid(k, m[0])} for t in every}
+    n, out = len(every), {t: set() for t in every}
+    for t in set(every):
+        for e in ents[t]:
+            d_e = sum(e in ents[x] for x in every)
+            for w in own[t]:
+                both = [x for x in every if e in ents[x] and w in own[x]]
+                pmi = math.log2(n / d_e * (len(both) + prior * d_e / n) / (sum(w in terms[x] for x in every) + prior))
+                if len(set(both)) >= min_joint and pmi >= c * math.log2(n / d_e) and pmi > 0:
+                    out[t].add(w)
+    return out
+
+
+def test_terms_far_from_a_value(spark, tmp_path):
+    far = " ".join(f"w{c}" for c in "abcdefghijklmnopq")
+    rows = [*corpus(), *((800 + i, f"plain {far}") for i in range(200))]
+    rows += [(600, f"Kestrelfar {far} near it x@y.example.org beside {far} Zanzifar, 1.2.3.4"), (601, f"Bo {far} a@b.example.org {far} commonly c@d.example.org {far} Kim"), (602, f"Bo c@d.example.org {far} Kim a@b.example.org words")]
+    rows.append((603, rows[-1][1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute_whole(rows)
+    assert {"kestrelfar", "zanzifar", "near"} <= want[rows[-4][1]] and {"bo", "kim"} <= want[rows[-1][1]]
+    text = {i: t or "" for i, t in rows}
+    for r in pii.query(spark, str(tmp_path)).collect():
+        t = text[r.doc_id]
+        got = {t[int(a) : int(b)].lower() for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "term"}
+        assert got == want[t], t
