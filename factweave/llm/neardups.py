@@ -12,6 +12,10 @@ the exact similarity of their shingles (32-bit hashes, from a table that is read
 Shards over `shard_rows` go to the next level, where documents share more shingles at once; at the last level any
 size is searched, since those share four shingles in one of eight ways.
 
+What these steps leave out (other than the nearest ones, pairs outside the radius or without a common first shingle, large
+shards' members at deeper levels) is found exactly: sets of that similarity share a shingle of their prefixes, so pairs
+that share one and stand in different components so far are verified too.
+
 Links become components; of each component the document with the smallest id stays.
 
 Defined results: documents of equal words (ASCII letters lower-cased) are duplicates, those without words (null,
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions.session import checkpointed, shared_dir
 from factweave.llm.common import lower_ascii, text_key
-from factweave.llm.simhash import BKTree, _near
+from factweave.llm.simhash import BKTree, _near, dealt
 from factweave.llm.substring import M1, mix, rolled, split, word_hashes
 from factweave.llm.tokens import slices
 from factweave.operators.graph import components as graph_components
@@ -174,19 +178,90 @@ def links(table: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS
             hot = checkpointed(left.join(keyed.join(size.where(F.col("n") > shard_rows), "shard", "left_semi").select("key").distinct(), "key", "left_semi"))
             size = size.where(F.col("n") <= shard_rows)
         rows = keyed.join(size, "shard", "left_semi").select("shard", "key", "sig")
-        got = checkpointed(rows.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(_shards(radius), "a binary, b binary").distinct())
+        got = checkpointed(dealt(rows, "shard", "key", by=1).mapInArrow(_shards(radius), "a binary, b binary").distinct())
         found = got if found is None else found.union(got)
         if n + 1 < len(LEVELS):
             if hot.isEmpty():
                 break
             left = hot
-    found = found.distinct()
+    first = verified(found.distinct(), table, similarity)
+    return checkpointed(first.union(verified(rest(table, first, similarity), table, similarity)).distinct())
+
+
+def verified(found: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingles are as similar."""
     nodes = found.select(F.col("a").alias("key")).union(found.select("b")).distinct()
     sets = checkpointed(table.select("key", "shingles").groupBy("key").agg(F.first("shingles").alias("shingles")).join(nodes, "key", "left_semi"))
     x, y = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"s_{k}")) for k in "ab")
     return checkpointed(found.join(x, "a").join(y, "b").select("a", "b", "s_a", "s_b").mapInArrow(_verify(similarity), "a binary, b binary"))
 
 
+def prefix(own: np.ndarray, common: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The first shingles of a set, so many that similar sets share one of them: those not in `common` by their hashes, then the common ones from the last to the first."""
+    n = len(own)
+    k = n - int(np.ceil(similarity * n - 1e-6)) + 1 if n else 0
+    order = np.argsort(common, kind="stable")
+    at = order[np.minimum(np.searchsorted(common, own, sorter=order), len(common) - 1)] if len(common) else np.zeros(n, np.int64)
+    rank = np.where(common[at] == own, len(common) - at, 0) if len(common) else at
+    return own[np.lexsort((own, rank))[:k]]
+
+
+def _prefixes(common: np.ndarray, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [prefix(np.frombuffer(x, "<u4"), common, similarity) for x in batch.column(1).to_pylist()]
+            at = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            flat = np.concatenate([*own, np.zeros(0, "<u4")]).astype(np.int64)
+            for lo in range(0, len(flat), 1 << 16):
+                cut = pa.array(at[lo : lo + (1 << 16)])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[lo : lo + (1 << 16)]), batch.column(0).take(cut), batch.column(2).take(cut)], ["shard", "key", "component"])
+
+    return run
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of keys of one shingle that no links join yet; rows are sorted by shingle and key."""
+    last, keys, comps = None, [], []
+
+    def pairs() -> Iterator[pa.RecordBatch]:
+        if len(keys) < 2 or (comps[0] is not None and len(set(comps)) == 1):
+            return
+        ids: dict = {}
+        label = np.array([-1 - i if c is None else ids.setdefault(c, len(ids)) for i, c in enumerate(comps)])
+        ks = pa.array(keys, pa.binary())
+        for i in range(len(keys) - 1):
+            if (j := np.flatnonzero(label[i + 1 :] != label[i]) + i + 1).size:
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i]] * len(j), pa.binary()), ks.take(pa.array(j))], ["a", "b"])
+
+    for batch in batches:
+        for shard, key, comp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if shard != last:
+                yield from pairs()
+                last, keys, comps = shard, [], []
+            if not keys or keys[-1] != key:  # copies have one key
+                keys.append(key)
+                comps.append(comp)
+    yield from pairs()
+
+
+def rest(table: DataFrame, linked: DataFrame, similarity: float, sample: int = 20_000, most: int = 200_000) -> DataFrame:
+    """The exact way for what trees, nearest ones and deeper levels leave out: pairs (a, b) of keys that share a shingle of their prefixes
+    and aren't in one component of `linked`. Sets of that similarity always share one, whatever the order of shingles; the order takes
+    the `most` commonest shingles of `sample` keys last, which only keeps groups small."""
+    sets = table.select("key", "shingles")
+    some = sets.limit(sample).mapInArrow(_each_shingle, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
+    common = np.array([r.s for r in some.orderBy(F.desc("n"), "s").limit(most).collect()], np.int64).astype("<u4")
+    names = graph_components(linked).select(F.col("node").alias("key"), F.xxhash64("component").alias("component"))
+    rows = sets.join(names, "key", "left").select("key", "shingles", "component").mapInArrow(_prefixes(common, similarity), "shard long, key binary, component long")
+    return checkpointed(dealt(rows, "shard", "key", by=1).mapInArrow(_across, "a binary, b binary").distinct())
+
+
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in batch.column(1).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<u4").astype(np.int64))], ["s"])
+
+
 def prepared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, tkey (of the text), key (of the words), sig, firsts and shingles of every row: computed once, written to the shared folder and read by columns."""
     spark, t = docs.sparkSession, F.coalesce(F.col(f"`{text}`"), F.lit(""))

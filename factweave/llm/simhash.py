@@ -190,9 +190,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows sorted by keys, those of equal keys in one task. They are dealt by a hash of the keys: an exchange by the keys themselves would be dropped behind a join by them, whose own may then be read locally (map output by map output), which tears shards apart."""
-    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys)
+def dealt(rows: DataFrame, *keys: str, by: int | None = None) -> DataFrame:
+    """Rows sorted by keys, those of equal keys (of the first `by`) in one task. They are dealt by a hash of the keys: an exchange by the keys themselves would be dropped behind a join by them, whose own may then be read locally (map output by map output), which tears shards apart."""
+    return rows.repartition(F.xxhash64(*keys[:by])).sortWithinPartitions(*keys)
 
 
 def links(fps: DataFrame, fp: str = "fingerprint", radius: int = RADIUS, shard_rows: int = SHARD_ROWS, tree: int = TREE) -> DataFrame:

@@ -92,3 +92,23 @@ def test_signatures_estimate_the_angle():
             d.append(int(np.bitwise_count(neardups.signature(np.unique(x)) ^ neardups.signature(np.unique(y))).sum()))
         want = 256 * np.arccos(min(1.0, 2 * share / (1 + share))) / np.pi
         assert abs(np.mean(d) - want) < 6
+
+
+def test_no_link_is_lost_at_any_shard_size(spark):
+    rows = corpus(seed=9, n=60)
+    root = groups(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    table = neardups.prepared(df)
+    at = {r.key: r.doc_id for r in table.select("key", "doc_id").collect()}
+    for few, radius in ((2, neardups.RADIUS), (2048, 4)):  # large shards; a radius that most pairs are outside of
+        up = list(range(len(rows)))
+
+        def find(i, up=up):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        for r in neardups.links(table, shard_rows=few, radius=radius).collect():
+            a, b = sorted((find(at[r.a]), find(at[r.b])))
+            up[b] = a
+        assert [find(i) for i in range(len(rows))] == root
