@@ -7,14 +7,16 @@ few fixed orders. A pair shares it in each order with the probability of its sim
 0.2 % of the pairs at 0.8. A shard's BK-tree (children keyed by Hamming distance to the parent) is searched along
 edges within the radius. Each document then names its nearest ones and, of those that the tree connects, the one
 with most near ones: a few candidates each, however large a group is, never all pairs. Candidates are verified by
-the exact similarity of their shingles (32-bit hashes, from a table that is read for them only).
+the exact similarity of their shingles (32-bit hashes, from a table that is read for them only). Sets are several times
+as large as anything else here, so a pair first compares bitmaps of the parity of its shingles, about a bit or two each:
+they differ in no more bits than the sets do in shingles, so pairs that differ in too many are dropped without their sets.
 
 Shards over `shard_rows` go to the next level, where documents share more shingles at once; at the last level any
 size is searched, since those share four shingles in one of eight ways.
 
 What these steps leave out (other than the nearest ones, pairs outside the radius or without a common first shingle, large
 shards' members at deeper levels) is found exactly: sets of that similarity share a shingle of their prefixes, so pairs
-that share one and stand in different components so far are verified too.
+that share one and stand in different components so far are verified too, if enough of both sets comes after it.
 
 Links become components; of each component the document with the smallest id stays.
 
@@ -73,20 +75,37 @@ def anchors(own: np.ndarray, n: int = ORDERS) -> np.ndarray:
     return np.array([mix(own ^ s).min() for s in _seeds(n, 77)], np.uint64) if len(own) else np.zeros(n, np.uint64)
 
 
+def parity(own: np.ndarray) -> np.ndarray:
+    """Bitmap of a set of 32-bit hashes: which of its places, a power of two and one per member at least, an odd number of members falls on."""
+    places = max(64, 1 << (len(own) - 1).bit_length()) if len(own) else 64
+    return np.packbits(np.bincount(own & np.uint32(places - 1), minlength=places) & 1, bitorder="little")
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two bitmaps differ, at the size of the smaller one: the sets differ in so many members at least."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, tkey and lower-cased text to doc_id, tkey, key (of the words), signature, anchors and shingles (32-bit hashes)."""
+    """doc_id, tkey and lower-cased text to doc_id, tkey, key (of the words), signature, anchors, shingles (32-bit hashes), their number and their bitmap."""
     for whole in batches:
         for batch in slices(whole, 2):
             words, count = split(batch.column(2))
             h, ends = word_hashes(words), np.cumsum(count)
-            keys, sigs, firsts, sets = [], [], [], []
+            keys, sigs, firsts, sets, sizes, bits = [], [], [], [], [], []
             for lo, hi in zip((ends - count).tolist(), ends.tolist(), strict=True):
                 own = shingles(h[lo:hi])
                 keys.append(xxhash.xxh3_128_digest(h[lo:hi].tobytes()))
                 sigs.append(signature(own).view(np.int64).tolist())
                 firsts.append(anchors(own).view(np.int64).tolist())
-                sets.append(np.unique((own >> np.uint64(32)).astype("<u4")).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["doc_id", "tkey", "key", "sig", "firsts", "shingles"])
+                short = np.unique((own >> np.uint64(32)).astype("<u4"))
+                sets.append(short.tobytes())
+                sizes.append(len(short))
+                bits.append(parity(short).tobytes())
+            lists, binary = pa.list_(pa.int64()), pa.binary()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, binary), pa.array(sigs, lists), pa.array(firsts, lists), pa.array(sets, binary), pa.array(sizes, pa.int32()), pa.array(bits, binary)], ["doc_id", "tkey", "key", "sig", "firsts", "shingles", "n", "bits"])
 
 
 def candidates(fps: np.ndarray, radius: int, nearest: int = NEAREST) -> list[tuple[int, int]]:
@@ -153,6 +172,18 @@ def _shards(radius: int):
     return run
 
 
+def _possible(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs whose bitmaps don't rule the similarity out: sets of n and m members that are as similar differ in (n + m) * (1 - s) / (1 + s) at most."""
+        for batch in batches:
+            most = (batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()) * ((1 - similarity) / (1 + similarity)) + 1e-6
+            bits = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
+            d = np.array([differing(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) for x, y in bits], np.int64)
+            yield batch.select([0, 1]).filter(pa.array(d <= most))
+
+    return run
+
+
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +198,7 @@ def _verify(similarity: float):
 
 
 def links(table: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Verified pairs (a, b) of keys, for a table of key, sig, firsts and shingles."""
+    """Verified pairs (a, b) of keys, for a table of key, sig, firsts, shingles, n and bits."""
     left = checkpointed(table.groupBy("key").agg(F.first("sig").alias("sig"), F.first("firsts").alias("firsts")))
     found = None
     for n, ways in enumerate(LEVELS):
@@ -188,19 +219,27 @@ def links(table: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS
     return checkpointed(first.union(verified(rest(table, first, similarity), table, similarity)).distinct())
 
 
+def _with_ends(pairs: DataFrame, table: DataFrame, *columns: str, few: int = 500_000) -> DataFrame:
+    """Pairs (a, b) with the columns of both ends, as a_<column> and b_<column>. Only the rows of ends are shuffled, unless there are more than `few`."""
+    ends = checkpointed(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct())
+    own = table.select("key", *columns).join(F.broadcast(ends) if ends.count() <= few else ends, "key", "left_semi")
+    own = own.groupBy("key").agg(*(F.first(c).alias(c) for c in columns))
+    for k in "ab":
+        pairs = pairs.join(own.select(F.col("key").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in columns)), k)
+    return pairs.select("a", "b", *(f"{k}_{c}" for c in columns for k in "ab"))
+
+
 def verified(found: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose shingles are as similar."""
-    nodes = found.select(F.col("a").alias("key")).union(found.select("b")).distinct()
-    sets = checkpointed(table.select("key", "shingles").groupBy("key").agg(F.first("shingles").alias("shingles")).join(nodes, "key", "left_semi"))
-    x, y = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"s_{k}")) for k in "ab")
-    return checkpointed(found.join(x, "a").join(y, "b").select("a", "b", "s_a", "s_b").mapInArrow(_verify(similarity), "a binary, b binary"))
+    """Those of the pairs (a, b) whose shingles are as similar. Sets are read and sent only for pairs that their bitmaps leave."""
+    some = checkpointed(_with_ends(found, table, "n", "bits").mapInArrow(_possible(similarity), "a binary, b binary"))
+    return checkpointed(_with_ends(some, table, "shingles").mapInArrow(_verify(similarity), "a binary, b binary"))
 
 
-def prefix(own: np.ndarray, common: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The first shingles of a set, so many that similar sets share one of them: those not in `common` by their hashes, then the common ones from the last to the first."""
+def prefix(own: np.ndarray, common: np.ndarray, similarity: float = SIMILARITY, order: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a set, so many that similar sets share one of them: those not in `common` by their hashes, then the common ones from the last to the first. order: that of `common` by value, where it is known."""
     n = len(own)
     k = n - int(np.ceil(similarity * n - 1e-6)) + 1 if n else 0
-    order = np.argsort(common, kind="stable")
+    order = np.argsort(common, kind="stable") if order is None else order
     at = order[np.minimum(np.searchsorted(common, own, sorter=order), len(common) - 1)] if len(common) else np.zeros(n, np.int64)
     rank = np.where(common[at] == own, len(common) - at, 0) if len(common) else at
     return own[np.lexsort((own, rank))[:k]]
@@ -208,67 +247,91 @@ def prefix(own: np.ndarray, common: np.ndarray, similarity: float = SIMILARITY)
 
 def _prefixes(common: np.ndarray, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(common, kind="stable")
         for batch in batches:
-            own = [prefix(np.frombuffer(x, "<u4"), common, similarity) for x in batch.column(1).to_pylist()]
-            at = np.repeat(np.arange(len(own)), [len(x) for x in own])
-            flat = np.concatenate([*own, np.zeros(0, "<u4")]).astype(np.int64)
-            for lo in range(0, len(flat), 1 << 16):
-                cut = pa.array(at[lo : lo + (1 << 16)])
-                yield pa.RecordBatch.from_arrays([pa.array(flat[lo : lo + (1 << 16)]), batch.column(0).take(cut), batch.column(2).take(cut)], ["shard", "key", "component"])
+            own = [prefix(np.frombuffer(x, "<u4"), common, similarity, order) for x in batch.column(2).to_pylist()]
+            flat, ends = np.concatenate([*own, np.zeros(0, "<u4")]).view("<i4"), np.cumsum([0, *map(len, own)], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["key", "n", "prefix"])
 
     return run
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of keys of one shingle that no links join yet; rows are sorted by shingle and key."""
-    last, keys, comps = None, [], []
+def _across(similarity: float):
+    share = similarity / (1 + similarity)
 
-    def pairs() -> Iterator[pa.RecordBatch]:
-        if len(keys) < 2 or (comps[0] is not None and len(set(comps)) == 1):
-            return
-        ids: dict = {}
-        label = np.array([-1 - i if c is None else ids.setdefault(c, len(ids)) for i, c in enumerate(comps)])
-        ks = pa.array(keys, pa.binary())
-        for i in range(len(keys) - 1):
-            if (j := np.flatnonzero(label[i + 1 :] != label[i]) + i + 1).size:
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i]] * len(j), pa.binary()), ks.take(pa.array(j))], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of keys of one shingle that no links join yet and whose sets can be as similar if this is the first shingle they share: no
+        more than what comes after it is common to both. Rows are sorted by shingle and key; a shingle may go on in the next batch."""
+        held: list[pa.RecordBatch] = []
 
-    for batch in batches:
-        for shard, key, comp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if shard != last:
-                yield from pairs()
-                last, keys, comps = shard, [], []
-            if not keys or keys[-1] != key:  # copies have one key
-                keys.append(key)
-                comps.append(comp)
-    yield from pairs()
+        def search(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            shard, n, at = (rows.column(k).to_numpy() for k in (0, 3, 4))
+            edges = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
+            many = np.flatnonzero(np.diff(edges) > 1)
+            if not len(many):
+                return
+            n, alone = n.astype(np.int64), rows.column(2).is_null().to_numpy()
+            label, after = np.unique(rows.column(2).fill_null(0).to_numpy(), return_inverse=True)[1], n - at
+            label = np.where(alone, -1 - np.arange(len(n)), label)
+            keys, a, b, size = pa.array(rows.column(1).to_pylist(), pa.binary()), [], [], 0
+            both = lambda: pa.RecordBatch.from_arrays([keys.take(pa.array(np.concatenate(x))) for x in (a, b)], ["a", "b"])
+            for lo, hi in zip(edges[many].tolist(), edges[many + 1].tolist(), strict=True):
+                for i in range(lo, hi - 1):
+                    r = slice(i + 1, hi)
+                    j = np.flatnonzero((label[r] != label[i]) & (np.minimum(after[r], after[i]) >= share * (n[r] + n[i]) - 1e-6)) + i + 1
+                    if len(j):
+                        a.append(np.full(len(j), i))
+                        b.append(j)
+                        size += len(j)
+                        if size >= 1 << 16:
+                            yield both()
+                            a, b, size = [], [], 0
+            if size:
+                yield both()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shard = batch.column(0).to_numpy()
+            k = int(np.searchsorted(shard, shard[-1])) if shard[0] != shard[-1] else 0
+            if k or (held and held[0].column(0)[0].as_py() != shard[0]):
+                yield from search(pa.Table.from_batches([*held, batch.slice(0, k)]))
+                held = []
+            held.append(batch.slice(k))
+        if held:
+            yield from search(pa.Table.from_batches(held))
+
+    return run
 
 
 def rest(table: DataFrame, linked: DataFrame, similarity: float, sample: int = 20_000, most: int = 200_000) -> DataFrame:
     """The exact way for what trees, nearest ones and deeper levels leave out: pairs (a, b) of keys that share a shingle of their prefixes
     and aren't in one component of `linked`. Sets of that similarity always share one, whatever the order of shingles; the order takes
-    the `most` commonest shingles of `sample` keys last, which only keeps groups small."""
-    sets = table.select("key", "shingles")
-    some = sets.limit(sample).mapInArrow(_each_shingle, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 2")
-    common = np.array([r.s for r in some.orderBy(F.desc("n"), "s").limit(most).collect()], np.int64).astype("<u4")
+    the `most` commonest shingles of about `sample` rows last, which only keeps groups small. Prefixes are joined and sent, whole sets aren't."""
+    some = table.select("shingles").sample(min(1.0, sample / max(1, table.count())), seed=7)
+    some = some.mapInArrow(_each_shingle, "s int, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n > 2")
+    common = np.array([r.s for r in some.orderBy(F.desc("n"), "s").limit(most).collect()], "<i4").view("<u4")
     names = graph_components(linked).select(F.col("node").alias("key"), F.xxhash64("component").alias("component"))
-    rows = sets.join(names, "key", "left").select("key", "shingles", "component").mapInArrow(_prefixes(common, similarity), "shard long, key binary, component long")
-    return checkpointed(dealt(rows, "shard", "key", by=1).mapInArrow(_across, "a binary, b binary").distinct())
+    heads = table.select("key", "n", "shingles").mapInArrow(_prefixes(common, similarity), "key binary, n int, prefix array<int>")
+    heads = heads.groupBy("key").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).join(names, "key", "left")
+    rows = heads.select("key", "component", "n", F.posexplode("prefix").alias("at", "shard")).select("shard", "key", "component", "n", "at")
+    return checkpointed(dealt(rows, "shard", "key", by=1).mapInArrow(_across(similarity), "a binary, b binary").distinct())
 
 
 def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of a batch of sets with their number of sets."""
     for batch in batches:
-        for x in batch.column(1).to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, "<u4").astype(np.int64))], ["s"])
+        s, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i4"), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n.astype(np.int64))], ["s", "n"])
 
 
 def prepared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, tkey (of the text), key (of the words), sig, firsts and shingles of every row: computed once, written to the shared folder and read by columns."""
+    """doc_id, tkey (of the text), key (of the words), sig, firsts, shingles, n and bits of every row: computed once, written to the shared folder and read by columns."""
     spark, t = docs.sparkSession, F.coalesce(F.col(f"`{text}`"), F.lit(""))
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), text_key(t).alias("tkey"), lower_ascii(t).alias("t"))
     kind = own.schema["doc_id"].dataType.simpleString()
     out = f"{shared_dir(spark)}/near-dups/{uuid.uuid4().hex}"
-    own.mapInArrow(_table, f"doc_id {kind}, tkey binary, key binary, sig array<long>, firsts array<long>, shingles binary").write.parquet(out)
+    own.mapInArrow(_table, f"doc_id {kind}, tkey binary, key binary, sig array<long>, firsts array<long>, shingles binary, n int, bits binary").write.parquet(out)
     return spark.read.parquet(out)
 
 

@@ -112,3 +112,59 @@ def test_no_link_is_lost_at_any_shard_size(spark):
             a, b = sorted((find(at[r.a]), find(at[r.b])))
             up[b] = a
         assert [find(i) for i in range(len(rows))] == root
+
+
+def test_bitmaps_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(3)
+    for n, m, both in [(0, 0, 0), (0, 5, 0), (1, 1, 1), (64, 65, 60), (300, 300, 270), (300, 2000, 290), (2048, 2049, 1900), (5000, 5000, 0)]:
+        s = rng.permutation(1 << 20)[: n + m - both].astype("<u4") * np.uint32(4093)
+        x, y = np.sort(s[:n]), np.sort(s[n - both :])
+        d = neardups.differing(neardups.parity(x), neardups.parity(y))
+        assert len(x) == n and len(y) == m and d <= n + m - 2 * both and (n + m - d) % 2 == 0
+        assert neardups.differing(neardups.parity(x), neardups.parity(x)) == 0
+    assert d > (n + m) * 0.2 / 1.8  # unlike ones are told apart
+
+
+def test_sets_of_unlike_documents_are_not_sent(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join([f"u{rng.randrange(10**7)}" for _ in range(150)] + passage)) for i in range(60)]  # one passage, else unlike
+    rows += [(100 + i, " ".join(edited(rng, [f"b{k}" for k in range(200)], 0.01))) for i in range(4)]
+    table = neardups.prepared(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    asked, ends = [], neardups._with_ends
+
+    def counted(pairs, t, *columns, **more):
+        asked.append((columns, pairs.count()))
+        return ends(pairs, t, *columns, **more)
+
+    monkeypatch.setattr(neardups, "_with_ends", counted)
+    at = {r.key: r.doc_id for r in table.select("key", "doc_id").collect()}
+    every = sorted(at)
+    pairs = spark.createDataFrame([(a, b) for i, a in enumerate(every) for b in every[i + 1 :]], "a binary, b binary")
+    got = {tuple(sorted((at[r.a], at[r.b]))) for r in neardups.verified(pairs, table, 0.8).collect()}
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and alike(grams(x), grams(y))}
+    assert got == want and len(want) > 3
+    assert [c for c, _ in asked] == [("n", "bits"), ("shingles",)] and asked[0][1] == 64 * 63 // 2 and asked[1][1] <= 6
+    monkeypatch.setattr(neardups, "_with_ends", lambda *a: ends(*a, few=0))  # more ends than are broadcast
+    assert neardups.verified(pairs, table, 0.8).count() == len(want)
+
+
+def test_pairs_of_one_shingle_need_enough_after_it(spark):
+    """Every pair within the similarity is met at a shingle of both prefixes, over batches of any length; no more pairs than need be."""
+    rows = corpus(seed=12, n=40)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    table = neardups.prepared(df)
+    at = {r.key: r.doc_id for r in table.select("key", "doc_id").collect()}
+    none = spark.createDataFrame([], "a binary, b binary")
+    own = {i: grams(t) for i, t in rows}
+    want = {(a, b) for a in own for b in own if a < b and alike(own[a], own[b])}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in (old, "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            for most in (0, 200_000):
+                got = [tuple(sorted((at[r.a], at[r.b]))) for r in neardups.rest(table, none, 0.8, most=most).collect()]
+                assert len(set(got)) == len(got) and want <= set(got)
+                assert all(0.8 * len(own[a]) <= len(own[b]) <= len(own[a]) / 0.8 for a, b in got)
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
