@@ -56,3 +56,27 @@ def test_entry(spark):
 def test_registry():
     q = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(q) and set(QUERIES) <= set(q)
+
+
+def on_texts(spark, path, name, texts, least=None):
+    """Rows of a query, and of its SQL, over documents of these texts; with `least` the SQL runs without its bound of 50, as the query does."""
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(path))
+    sql = SQL[name] if least is None else SQL[name].replace("BETWEEN 2 AND 50", f">= {least}")
+    assert least is None or sql != SQL[name]
+    return sorted(tuple(r) for r in df.collect()), sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({sql})".replace(", rows FROM", ', "rows" FROM')).fetchall())
+
+
+def test_near_dups_split_words_where_the_sql_does(spark, tmp_path):
+    words = [f"w{i}" for i in range(20)]
+    texts = [c.join(words) + f" {k}" for k in "ab" for c in (" ", "\t", "\n", "\f", "\r\n", "\x0b", "\x85", "\xa0")] + [None, "", "\x0b", " \n"]
+    got, want = on_texts(spark, tmp_path, "k7_near_dups", texts)
+    assert got == want and len(want) == 5 * 9
+
+
+def test_near_dups_differ_from_the_sql_by_its_bound_alone(spark, tmp_path):
+    texts = [" ".join(f"w{j}" for j in range(20)) + f" x{i}" for i in range(51)]
+    got, want = on_texts(spark, tmp_path, "k7_near_dups", texts, least=2)
+    assert got == want and len(got) == 51 * 50 // 2
