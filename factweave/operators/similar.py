@@ -2,29 +2,94 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factweave.functions.session import checkpointed, ship
+
+
+#: near_dups counts tokens by so many hashes; the driver and each task hold that many counts.
+SLOTS = 1 << 16
+#: Up to so many ids of candidate pairs are broadcast, so that only their tokens are shuffled.
+ENDS = 500_000
+
+
+def _prefixes(held: np.ndarray, tau: float, bucket: int):
+    """For mapInArrow: rows with hashes to the different hashes of their prefix and a bitmap of parities, as wide as their bucket asks for."""
+
+    def run(batches):
+        for b in batches:
+            n, lists = b.column("n").to_numpy(), b.column("hashes")
+            size = np.asarray(lists.value_lengths())
+            h, row = np.asarray(lists.flatten()), np.repeat(np.arange(len(n)), size)
+            wide = 1 << np.clip(np.ceil(np.log2((n // bucket + 1) * bucket)), 7, 15).astype(np.int64)
+            start = np.concatenate([[0], np.cumsum(wide)])
+            bits = np.bincount(start[row] + ((h >> 16) & (wide[row] - 1)), minlength=start[-1]) & 1
+            h = h[np.lexsort((h, held[h & (SLOTS - 1)], row))]
+            at = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+            take = (at < (n - np.ceil(tau * n - 1e-6) + 1)[row]) & ((at == 0) | (h != np.roll(h, 1)))
+            firsts = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[take], minlength=len(n)))]), pa.int32()), pa.array(h[take]))
+            bitmap = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((start // 8).astype(np.int32)), pa.py_buffer(np.packbits(bits.astype(np.uint8)))])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "n", "mark")), firsts, bitmap], ["id", "n", "mark", "firsts", "bits"])
+
+    return run
+
+
+def _possible(tau: float):
+    """For mapInArrow: pairs whose bitmaps differ in no more bits than multisets of similarity tau may."""
+
+    def run(batches):
+        for b in batches:
+            limit = (b.column("n_a").to_numpy() + b.column("n_b").to_numpy()) * (1 - tau) / (1 + tau) + 1e-6
+            x = ((int.from_bytes(p) ^ int.from_bytes(q)).bit_count() for p, q in zip(b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist()))
+            yield b.filter(pa.array(np.fromiter(x, np.int64, len(limit)) <= limit)).select(["a", "b", "n_a", "n_b"])
+
+    return run
+
+
+def _shared(batches):
+    """For mapInArrow: the tokens that pairs share, repeats included; a null is none."""
+    for b in batches:
+        x = [sum((Counter(p) & Counter(q)).values()) for p, q in zip(b.column("t_a").to_pylist(), b.column("t_b").to_pylist())]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(x, pa.int64())], ["a", "b", "n_a", "n_b", "shared"])
+
 
-def near_dups(df: DataFrame, id: str, tokens: str, tau: float = 0.85, bucket: int = 10, cap: int | None = 50) -> DataFrame:
+def near_dups(df: DataFrame, id: str, tokens: str, tau: float = 0.85, bucket: int = 10, cap: int | None = 50, once: str | None = None) -> DataFrame:
     """K7: pairs a < b within one size bucket whose multiset Jaccard, sum of minima over sum of maxima, is tau or more. Buckets of more than `cap` rows are skipped, as the reference does; with cap=None none is.
+    With `once`, rows whose value there occurs twice or more are left out.
 
-    Rows are sets of (token, occurrence), ordered by how rare an element is. Two rows of similarity tau
-    share an element of their first n - ceil(tau * n) + 1 at least, so pairs meet through those only; all
-    that meet are verified over all tokens.
+    Tokens are ordered by how often their slot is held, repeats included. Two rows of similarity tau share one
+    of their first n - ceil(tau * n) + 1 at least, so pairs meet through those only. Of pairs that meet, bitmaps rule
+    out those that differ too much; the rest are verified over all tokens. Hashes only let more pairs meet.
     """
-    sized = df.select(F.col(id).alias("id"), F.col(tokens).alias("tokens"), F.size(tokens).alias("n")).where("n > 0").withColumn("bucket", F.floor(F.col("n") / bucket))
-    rows = F.col("_rows")
-    small = sized.groupBy("bucket").agg(F.count("*").alias("_rows")).where(rows >= 2 if cap is None else rows.between(2, cap)).select("bucket")
-    counts = sized.join(small, "bucket", "left_semi").select("id", "n", "bucket", F.explode("tokens").alias("token")).groupBy("bucket", "token", "id", "n").agg(F.count("*").alias("c"))
-    each = counts.select("bucket", "token", "id", "n", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("k"))
-    rare = each.groupBy("token", "k").agg(F.count("*").alias("held"))
-    order = Window.partitionBy("bucket", "id", "n").orderBy("held", "token", "k")
-    first = each.join(rare, ["token", "k"]).withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - F.ceil(tau * F.col("n") - 1e-6) + 1)
-    a, b = (first.select("bucket", "token", "k", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    near = a.join(b, ["bucket", "token", "k"]).where("a < b").where(F.least("n_a", "n_b") >= tau * F.greatest("n_a", "n_b") - 1e-6).select("bucket", "a", "b", "n_a", "n_b").distinct()
-    a, b = (counts.select("bucket", "token", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
-    both = near.join(a, ["bucket", "a", "n_a"]).join(b, ["bucket", "b", "n_b", "token"]).groupBy("a", "b", "n_a", "n_b").agg(F.sum(F.least("c_a", "c_b")).alias("shared"))
+    ship(df.sparkSession)
+    rows = df.select(F.col(id).alias("id"), F.filter(tokens, lambda t: t.isNotNull()).alias("tokens"), F.size(tokens).cast("long").alias("n"), *([F.col(once).alias("mark")] if once else [F.lit(None).cast("string").alias("mark")])).where("n > 0")
+    hashed = rows.select("id", "n", "mark", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
+    held = np.zeros(SLOTS, np.int64)
+    for slot, n in rows.select(F.explode("tokens").alias("t")).groupBy(F.xxhash64("t").bitwiseAND(F.lit(SLOTS - 1)).alias("slot")).agg(F.count("*")).collect():
+        held[slot] = n
+    kind = {f.name: f.dataType.simpleString() for f in hashed.schema.fields}
+    table = hashed.mapInArrow(_prefixes(held, tau, bucket), f"id {kind['id']}, n long, mark {kind['mark']}, firsts array<long>, bits binary")
+    table = checkpointed(table.withColumn("bucket", F.floor(F.col("n") / bucket)))
+    if once:
+        table = table.join(table.groupBy("mark").agg(F.count("*").alias("_rows")).where("_rows = 1").select("mark"), "mark", "left_semi")
+    if cap is not None:
+        table = table.join(table.groupBy("bucket").agg(F.count("*").alias("_rows")).where(F.col("_rows").between(2, cap)).select("bucket"), "bucket", "left_semi")
+    first = table.select("bucket", "id", "n", F.explode("firsts").alias("h"))
+    a, b = (first.select("bucket", "h", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    met = a.join(b, ["bucket", "h"]).where("a < b").where(F.least("n_a", "n_b") >= tau * F.greatest("n_a", "n_b") - 1e-6).select("a", "b", "n_a", "n_b").distinct()
+    a, b = (table.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    pair = f"a {kind['id']}, b {kind['id']}, n_a long, n_b long"
+    near = checkpointed(met.join(a, ["a", "n_a"]).join(b, ["b", "n_b"]).mapInArrow(_possible(tau), pair).distinct())
+    ends = near.select(F.col("a").alias("id"), F.col("n_a").alias("n")).union(near.select("b", "n_b")).distinct()
+    ends = F.broadcast(ends) if ends.count() <= ENDS else ends
+    whole = rows.select("id", "n", "tokens").join(ends, ["id", "n"], "left_semi")
+    a, b = (whole.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}")) for x in "ab")
+    both = near.join(a, ["a", "n_a"]).join(b, ["b", "n_b"]).mapInArrow(_shared, f"{pair}, shared long")
     sim = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
     return both.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= tau)
 

@@ -83,9 +83,9 @@ def k6_exact_groups(spark, sf):
 
 
 def k7_near_dups(spark, sf):
-    d = _t(spark, sf, "documents").select("doc_id", "text")
-    alone = sets.exact_groups(d, "text", "doc_id")[1].select("doc_id", F.filter(F.split("text", r"[\t\n\f\r ]+"), lambda w: w != "").alias("tokens"))  # \s of the SQL, which unlike Java's has no \x0B
-    return similar.near_dups(alone, "doc_id", "tokens", cap=None).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    words = F.filter(F.split("text", r"[\t\n\f\r ]+"), lambda w: w != "")  # \s of the SQL, which unlike Java's has no \x0B
+    d = _t(spark, sf, "documents").select("doc_id", words.alias("tokens"), F.sha2(F.col("text").cast("binary"), 256).alias("copy"))
+    return similar.near_dups(d, "doc_id", "tokens", cap=None, once="copy").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def k8_fragments(spark, sf):

@@ -205,3 +205,24 @@ def test_fragments_of_many_sequences_without_a_cap(spark):
     want = brute_fragments(seqs, 3, 10**9)
     assert len(want) > 54 * 53 // 2 and rows(similar.fragments(df, "s", "o", "v", window=3)) == []
     assert rows(similar.fragments(df, "s", "o", "v", window=3, cap=None)) == want
+
+
+def test_near_dups_of_any_length_and_once(spark):
+    from collections import Counter
+
+    rng, docs = random.Random(9), []
+    for size in (1, 9, 10, 11, 63, 64, 600, 5000):
+        base = [f"w{int(rng.expovariate(0.01))}" for _ in range(size)]
+        for k in range(6):
+            t = [x if rng.random() > 0.03 * k else (None if rng.random() < 0.1 else f"y{rng.random()}") for x in base]
+            docs.append((len(docs), t, f"c{len(docs)}"))
+    docs.append((len(docs), docs[40][1], "c40"))
+    want, bare = {}, lambda t: Counter(x for x in t if x is not None)
+    for i, x, p in docs:
+        for j, y, q in docs[i + 1 :]:
+            m = sum((bare(x) & bare(y)).values())
+            if len(x) // 10 == len(y) // 10 and m / (len(x) + len(y) - m) >= 0.85 and "c40" not in (p, q):
+                want[i, j] = m / (len(x) + len(y) - m)
+    df = spark.createDataFrame(docs, "id long, t array<string>, c string")
+    got = {(a, b): s for a, b, s in rows(similar.near_dups(df, "id", "t", cap=None, once="c"))}
+    assert got == pytest.approx(want) and len({len(docs[a][1]) for a, _ in want}) >= 6
