@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import itertools
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,10 @@ from factweave.functions.session import checkpointed, ship
 
 #: near_dups counts tokens by so many hashes; the driver and each task hold that many counts.
 SLOTS = 1 << 16
-#: Up to so many ids of candidate pairs are broadcast, so that only their tokens are shuffled.
+#: Ids of up to so many candidate pairs are broadcast, so that only their tokens are shuffled.
 ENDS = 500_000
+#: Rows of a bucket that have pairs are dealt to groups of about so many; pairs of two groups are one task's cell.
+CELL = 1_000
 
 
 def _prefixes(held: np.ndarray, tau: float, bucket: int):
@@ -51,11 +54,15 @@ def _possible(tau: float):
     return run
 
 
-def _shared(batches):
-    """For mapInArrow: the tokens that pairs share, repeats included; a null is none."""
-    for b in batches:
-        x = [sum((Counter(p) & Counter(q)).values()) for p, q in zip(b.column("t_a").to_pylist(), b.column("t_b").to_pylist())]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(x, pa.int64())], ["a", "b", "n_a", "n_b", "shared"])
+def _shared(pairs: pa.Table, rows: pa.Table) -> pa.Table:
+    """For the pairs and rows of a cell: the tokens that pairs share, repeats included. Tokens become numbers once a row, not once a pair."""
+    code, sets = defaultdict(itertools.count().__next__), {}
+    for i, n, tokens in zip(rows.column("id").to_pylist(), rows.column("n").to_pylist(), rows.column("tokens").to_pylist()):
+        seen = Counter(tokens)
+        sets[i, n] = {code[t, k] for t, c in seen.items() for k in range(c)}
+    ends = [pairs.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b")]
+    x = [len(sets[a, n] & sets[b, m]) for a, b, n, m in zip(*ends)]
+    return pa.table([*(pairs.column(c) for c in ("a", "b", "n_a", "n_b")), pa.array(x, pa.int64())], names=["a", "b", "n_a", "n_b", "shared"])
 
 
 def near_dups(df: DataFrame, id: str, tokens: str, tau: float = 0.85, bucket: int = 10, cap: int | None = 50, once: str | None = None) -> DataFrame:
@@ -85,11 +92,13 @@ def near_dups(df: DataFrame, id: str, tokens: str, tau: float = 0.85, bucket: in
     a, b = (table.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
     pair = f"a {kind['id']}, b {kind['id']}, n_a long, n_b long"
     near = checkpointed(met.join(a, ["a", "n_a"]).join(b, ["b", "n_b"]).mapInArrow(_possible(tau), pair).distinct())
-    ends = near.select(F.col("a").alias("id"), F.col("n_a").alias("n")).union(near.select("b", "n_b")).distinct()
-    ends = F.broadcast(ends) if ends.count() <= ENDS else ends
-    whole = rows.select("id", "n", "tokens").join(ends, ["id", "n"], "left_semi")
-    a, b = (whole.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}")) for x in "ab")
-    both = near.join(a, ["a", "n_a"]).join(b, ["b", "n_b"]).mapInArrow(_shared, f"{pair}, shared long")
+    at = {x: F.pmod(F.xxhash64(x), F.greatest(F.lit(1), F.ceil(F.col("of") / CELL))) for x in "ab"}
+    of = near.groupBy(F.floor(F.col("n_a") / bucket).alias("bucket")).agg(F.count_distinct("a").alias("of"))
+    celled = checkpointed(near.withColumn("bucket", F.floor(F.col("n_a") / bucket)).join(of, "bucket").select("a", "b", "n_a", "n_b", F.struct("bucket", at["a"].alias("i"), at["b"].alias("j")).alias("cell")))
+    ends = celled.select(F.col("a").alias("id"), F.col("n_a").alias("n"), "cell").union(celled.select("b", "n_b", "cell")).distinct().groupBy("id", "n").agg(F.collect_list("cell").alias("cells"))
+    ends = F.broadcast(ends) if near.count() <= ENDS else ends
+    whole = rows.select("id", "n", "tokens").join(ends, ["id", "n"]).select("id", "n", "tokens", F.explode("cells").alias("cell"))
+    both = celled.groupBy("cell").cogroup(whole.groupBy("cell")).applyInArrow(_shared, f"{pair}, shared long")
     sim = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
     return both.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= tau)
 
