@@ -106,22 +106,23 @@ def near_dups(df: DataFrame, id: str, tokens: str, tau: float = 0.85, bucket: in
 def fragments(rows: DataFrame, seq: str, ord: str, value: str, size: str | None = None, window: int = 3, min_size: int = 0, cap: int | None = 50) -> DataFrame:
     """K8: maximal shared runs of rows between two sequences: seq_a < seq_b, start_a, start_b, rows.
 
-    Windows of `window` rows are keyed by a hash and by the values themselves; groups of 2 to `cap`
+    Windows of `window` rows are keyed by the SHA-256 of their rows' own, so no row's text is shuffled; groups of 2 to `cap`
     windows make pairs across sequences, as in the reference; with cap=None groups of any size do. The result
     has a row for each pair of sequences, so it grows with the square of a group. Matches merge where each follows the other directly in (a, b) order. With `size`, runs whose rows of a sum to less are left out.
     """
-    w = Window.partitionBy(seq).orderBy(ord)
-    span = w.rowsBetween(0, window - 1)
-    x = rows.select(F.col(seq).alias("seq"), F.col(ord).alias("ord"), F.col(value).alias("value"), (F.col(size) if size else F.lit(1)).alias("size"))
     w = Window.partitionBy("seq").orderBy("ord")
-    span = w.rowsBetween(0, window - 1)
-    x = x.withColumn("at", F.row_number().over(w)).withColumn("values", F.collect_list("value").over(span)).where(F.size("values") == window).select("seq", "at", F.xxhash64("values").alias("h"), "values")
-    out = window_runs(x, window, cap)
+    own = F.coalesce(F.unhex(F.sha2(F.col(value).cast("string").cast("binary"), 256)), F.lit(b""))
+    x = rows.select(F.col(seq).alias("seq"), F.col(ord).alias("ord"), own.alias("own"), (F.col(size) if size else F.lit(1)).alias("size"))
+    x = x.withColumn("at", F.row_number().over(w))
+    spans = x.withColumn("rows", F.collect_list("own").over(w.rowsBetween(0, window - 1))).where(F.size("rows") == window)
+    joined = F.concat(*(F.concat(F.lit(b"."), F.get("rows", F.lit(k))) for k in range(window)))
+    out = window_runs(spans.select("seq", "at", F.xxhash64("rows").alias("h"), F.unhex(F.sha2(joined, 256)).alias("values")), window, cap)
     if not min_size:
         return out
-    sized = rows.select(F.col(seq).alias("seq_a"), F.row_number().over(Window.partitionBy(seq).orderBy(ord)).alias("at"), F.col(size).alias("size"))
-    total = out.join(sized, "seq_a").where("at between start_a and start_a + rows - 1").groupBy("seq_a", "seq_b", "start_a", "start_b", "rows").agg(F.sum("size").alias("_size"))
-    return total.where(F.col("_size") >= min_size).drop("_size")
+    upto = x.withColumn("upto", F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    upto = upto.groupBy(F.col("seq").alias("seq_a")).agg(F.sort_array(F.collect_list(F.struct("at", "upto"))).getField("upto").alias("upto"))
+    last, before = F.get("upto", (F.col("start_a") + F.col("rows") - 2).cast("int")), F.coalesce(F.get("upto", F.col("start_a") - 2), F.lit(0))
+    return out.join(upto, "seq_a").where(last - before >= min_size).drop("upto")
 
 
 def window_runs(x: DataFrame, window: int, cap: int | None = 50) -> DataFrame:

@@ -80,3 +80,9 @@ def test_near_dups_differ_from_the_sql_by_its_bound_alone(spark, tmp_path):
     texts = [" ".join(f"w{j}" for j in range(20)) + f" x{i}" for i in range(51)]
     got, want = on_texts(spark, tmp_path, "k7_near_dups", texts, least=2)
     assert got == want and len(got) == 51 * 50 // 2
+
+
+def test_fragments_differ_from_the_sql_by_its_bound_alone(spark, tmp_path):
+    shared = [f"line {k} of ten words that all of these texts share" for k in range(4)]
+    got, want = on_texts(spark, tmp_path, "k8_fragments", ["\n".join([f"own {i}", *shared, "", f"end {i}"]) for i in range(51)], least=2)
+    assert got == want and len(got) == 51 * 50 // 2
